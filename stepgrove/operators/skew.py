@@ -1,0 +1,34 @@
+"""N:1 join whose many-side may hold one very frequent key."""
+
+from pyspark.sql import functions as F
+
+from .ordering import HOT_ROWS, MAX_HOT_GROUPS
+
+
+def skew_join(rows, groups, keys, spread, how="inner", hot_rows=HOT_ROWS):
+    """Join ``rows`` to ``groups`` (unique on ``keys``), dealing hot keys out over several tasks.
+
+    Keys above the limit get one copy of their group row per slice; ``spread`` names the columns whose
+    hash picks the slice. At most MAX_HOT_GROUPS keys can pass the limit, so their table is broadcast.
+    """
+    keys = list(keys)
+    n = rows.count()
+    if n <= hot_rows:
+        return rows.join(groups, keys, how)
+    limit = max(hot_rows, n // MAX_HOT_GROUPS)
+    hot = rows.groupBy(*keys).count().filter(F.col("count") > limit)
+    found = hot.collect()
+    if not found:
+        return rows.join(groups, keys, how)
+    slices = F.broadcast(
+        rows.sparkSession.createDataFrame(found, hot.schema).select(
+            *keys, F.ceil(F.col("count") / limit).cast("bigint").alias("_slices")
+        )
+    )
+    dealt = rows.join(slices, keys, "left").withColumn(
+        "_slice", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_slices")), F.lit(0).cast("bigint"))
+    )
+    copies = groups.join(slices, keys, "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
+    )
+    return dealt.drop("_slices").join(copies.drop("_slices"), [*keys, "_slice"], how).drop("_slice")
