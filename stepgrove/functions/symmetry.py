@@ -59,12 +59,12 @@ def move_back(positions, permutation):
 
 def least_image(positions, group):
     """Least sorted image of a position set over the group: equal exactly for sets in one orbit."""
-    return F.array_min(
-        F.array(*[
-            F.array_sort(F.transform(positions, lambda p, g=g: F.element_at(F.array(*[F.lit(x) for x in g]), p + 1)))
-            for g in group
-        ])
-    )
+
+    def image(permutation):
+        moved = F.array(*[F.lit(p) for p in permutation])
+        return F.array_sort(F.transform(positions, lambda p: F.element_at(moved, p + 1)))
+
+    return F.array_min(F.array(*[image(g) for g in group]))
 
 
 def orbit_of(position, group):

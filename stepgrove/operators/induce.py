@@ -73,6 +73,23 @@ def info_gain(rows, candidate, bit, target):
     return joined.groupBy(candidate).agg((F.first("base") - inside).alias("gain"))
 
 
+def equal_candidates(rows, candidate, row_key, bit):
+    """First candidate (lowest id) with the same truth vector, per candidate of long (candidate, row, bit) rows.
+
+    Truth vectors are compared by size and two 64-bit linear fingerprints; constants are marked.
+    """
+    true = F.col(bit)
+    h = lambda salt: F.sum(F.when(true, F.xxhash64(F.lit(salt), row_key)).otherwise(0).cast("decimal(38,0)"))
+    prints = rows.groupBy(candidate).agg(
+        F.count_if(true).alias("n_true"), F.count(F.lit(1)).alias("n"), h("a").alias("h1"), h("b").alias("h2")
+    )
+    firsts = prints.groupBy("n_true", "h1", "h2").agg(F.min(candidate).alias("first_equal"))
+    constant = (F.col("n_true") == 0) | (F.col("n_true") == F.col("n"))
+    return prints.join(firsts, ["n_true", "h1", "h2"]).select(
+        candidate, "first_equal", "n_true", constant.alias("is_constant")
+    )
+
+
 def smallest_values(rows, k):
     """The k smallest distinct values per position of ``values``: k passes of a plain minimum."""
     flat = rows.select(F.posexplode("values").alias("column", "value"))

@@ -347,5 +347,5 @@ def scored_successors(edges, features, vocabulary, expr, state="state"):
 
 def choose(rows, seed, key):
     """Add ``action``: one candidate picked by seed and row key."""
-    at = F.pmod(F.xxhash64(F.lit(seed), key), F.size("candidates")) + 1
-    return rows.withColumn("action", F.element_at("candidates", at.cast("int")))
+    number = F.conv(F.substring(seeded_hash(seed, key), 1, 8), 16, 10).cast("bigint")
+    return rows.withColumn("action", F.element_at("candidates", (number % F.size("candidates") + 1).cast("int")))
