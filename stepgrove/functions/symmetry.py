@@ -3,6 +3,8 @@
 ``p[i]`` is the position that element ``i`` moves to.
 """
 
+import json
+
 from pyspark.sql import functions as F
 
 
@@ -18,25 +20,27 @@ def permute(cells, permutation):
     return F.array(*[F.element_at(cells, i + 1) for i in inverse(permutation)])
 
 
+def group_literal(group):
+    """The group as an array<struct(perm, back)> constant, ``back`` being the inverse."""
+    table = [{"perm": list(g), "back": inverse(g)} for g in group]
+    return F.from_json(F.lit(json.dumps(table)), "array<struct<perm: array<int>, back: array<int>>>")
+
+
 def canonical_form(cells, group, code=lambda image: image):
     """struct(code, ord, image, permutation) of the least image over the group.
 
     Ties keep the earlier group element, so the identity (first) wins over every other. An empty group
     leaves the cells as they are.
     """
-    options = [
-        F.struct(
-            code(permute(cells, g)).alias("code"),
-            F.lit(k).alias("ord"),
-            permute(cells, g).alias("image"),
-            F.array(*[F.lit(p) for p in g]).alias("permutation"),
-        )
-        for k, g in enumerate(group)
-    ]
-    if not options:
+    if not group:
         same = F.sequence(F.lit(0), F.size(cells) - 1)
         return F.struct(code(cells).alias("code"), F.lit(0).alias("ord"), cells.alias("image"), same.alias("permutation"))
-    return F.array_min(F.array(*options))
+
+    def option(g, k):
+        image = F.transform(g["back"], lambda i: F.element_at(cells, i + 1))
+        return F.struct(code(image).alias("code"), k.alias("ord"), image.alias("image"), g["perm"].alias("permutation"))
+
+    return F.array_min(F.transform(group_literal(group), option))
 
 
 def digits_code(cells, symbols):
@@ -60,11 +64,8 @@ def move_back(positions, permutation):
 def least_image(positions, group):
     """Least sorted image of a position set over the group: equal exactly for sets in one orbit."""
 
-    def image(permutation):
-        moved = F.array(*[F.lit(p) for p in permutation])
-        return F.array_sort(F.transform(positions, lambda p: F.element_at(moved, p + 1)))
-
-    return F.array_min(F.array(*[image(g) for g in group]))
+    image = lambda g: F.array_sort(F.transform(positions, lambda p: F.element_at(g["perm"], p + 1)))
+    return F.array_min(F.transform(group_literal(group), image))
 
 
 def orbit_of(position, group):

@@ -39,7 +39,7 @@ def append_once(existing, new, order):
 
     ``existing`` has entry_id and sequence.
     """
-    columns = F.struct(*[F.col(c) for c in new.columns])
+    columns = F.struct(*[F.col(f"`{c}`") for c in new.columns])
     once = new.groupBy("entry_id").agg(F.min_by(columns, F.struct(*order)).alias("r")).select("r.*")
     fresh = once.join(existing.select("entry_id"), "entry_id", "left_anti")
     start = existing.agg(F.coalesce(F.max("sequence") + 1, F.lit(0))).collect()[0][0]

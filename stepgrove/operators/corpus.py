@@ -11,9 +11,9 @@ from .ordering import ordinal, running
 from .skew import skew_join
 
 
-def number_steps(rows, seq, order, action, **options):
-    """Event log -> (seq_id, ply, action) with the order columns kept."""
-    named = rows.select(F.col(seq).alias("seq_id"), F.col(action).alias("action"), *order)
+def number_steps(rows, seq, order, action, keep=(), **options):
+    """Event log -> (seq_id, ply, action) with the order columns and ``keep`` carried along."""
+    named = rows.select(F.col(seq).alias("seq_id"), F.col(action).alias("action"), *order, *keep)
     return ordinal(named, ["seq_id"], order, "ply", **options)
 
 

@@ -189,7 +189,7 @@ def _gain(inside, total, kind, held):
     n = sum(whole)
     if n == 0:
         return 0.0
-    return _entropy(whole) - sum(false) / n * _entropy(false) - sum(true) / n * _entropy(true)
+    return _entropy(whole) - (sum(false) / n * _entropy(false) + sum(true) / n * _entropy(true))
 
 
 def _fingerprint(sums):
@@ -209,8 +209,9 @@ class Candidate:
     seq: int
 
     def rank(self):
+        """Shortlist order; gains are rounded so equal gains tie whatever order their terms were added in."""
         shown = self.train_gain if self.holdout_gain is None else self.holdout_gain
-        return (-shown, -self.train_gain, self.seq)
+        return (-round(shown, 12), -round(self.train_gain, 12), self.seq)
 
 
 @dataclass
@@ -285,7 +286,7 @@ def enumerate_and_score(rows, features, params):
         if c:
             one.append(c)
             bits[c.seq] = bit
-    beam = sorted(one, key=lambda c: (-c.train_gain, c.seq))[: params.beam]
+    beam = sorted(one, key=lambda c: (-round(c.train_gain, 12), c.seq))[: params.beam]
     two = [admit(E.negate(c.expr), _minus(total, c.sums)) for c in beam]
     if len(beam) > 1:
         joint = count_bits(rows, [bits[c.seq] for c in beam], pairs=True)

@@ -103,7 +103,7 @@ def running(df, keys, order, measures, *, exclusive=False, total=None, hot_rows=
     extra = [total] if total else []
     if keep_range and hot is not None:
         extra.append(_CHUNK)
-    return out.select(*[c for c in df.columns if c not in names], *names, *extra)
+    return out.select(*[f"`{c}`" for c in df.columns if c not in names], *names, *extra)
 
 
 def ordinal(df, keys, order, name="ply", **options):

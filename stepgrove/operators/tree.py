@@ -9,7 +9,6 @@ routed from the root each time, so nothing but the input is kept between levels.
 import json
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -112,18 +111,19 @@ def split_table(counts, nodes, classes, rows, **options):
     totals = F.from_json(F.lit(json.dumps([n.counts for n in nodes])), "array<array<bigint>>")
     left = {f"_l{k}": F.col(f"_k{k}") for k in range(classes)}
     summed = running(counts, ["node", "column"], ["value"], left, max_rows=rows, keep_range=True, **options)
-    total = F.element_at(totals, F.col("node") + 1)
-    ls = [F.col(f"_l{k}") for k in range(classes)]
-    rs = [F.element_at(total, k + 1) - c for k, c in enumerate(ls)]
-    plus = lambda cs: reduce(lambda a, b: a + b, cs)
-    square = lambda c: (c.cast(kind) * c.cast(kind)).cast(kind)
-    return summed.select(
+    sides = summed.select(
         "node", "column", "value", *[c for c in summed.columns if c == RANGE],
-        F.array(*ls).alias("left_counts"),
-        plus(ls).alias("n_left"),
-        plus(rs).alias("n_right"),
-        plus([square(c) for c in ls]).alias("a_left"),
-        plus([square(c) for c in rs]).alias("a_right"),
+        F.array(*left).alias("left_counts"),
+        F.element_at(totals, F.col("node") + 1).alias("_total"),
+    ).withColumn("_right", F.zip_with("_total", "left_counts", lambda t, l: t - l))
+    add = lambda counts: F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, c: acc + c)
+    squares = lambda counts: F.aggregate(
+        counts, F.lit(0).cast(kind), lambda acc, c: (acc + c.cast(kind) * c.cast(kind)).cast(kind)
+    )
+    return sides.select(
+        "node", "column", "value", *[c for c in summed.columns if c == RANGE], "left_counts",
+        add("left_counts").alias("n_left"), add("_right").alias("n_right"),
+        squares("left_counts").alias("a_left"), squares("_right").alias("a_right"),
     )
 
 

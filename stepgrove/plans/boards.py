@@ -6,7 +6,6 @@ from ..functions.symmetry import canonical_form, digits_code, move_positions
 from ..operators import dataset as D
 from ..operators.features import Vocabulary, occupancy_features
 from .corpora import PLAYERS, event_steps
-from .catalog import table
 
 # Generators of the board symmetry, the win lines and the position orbits.
 ROTATION = [2, 5, 8, 1, 4, 7, 0, 3, 6]
@@ -50,13 +49,11 @@ def event_boards(spark, folder):
     ``optimal`` are the free positions of the events worth at least 10; positions past the end of a
     sequence stay empty.
     """
-    steps = event_steps(spark, folder).join(
-        table(spark, folder, "events").select("event_id", F.col("value").alias("worth")), "event_id"
-    )
+    steps = event_steps(spark, folder, ["value"])
     slot = F.col("ply") % 9
     owner = F.when(F.col("action") == "purchase", "X").when(F.col("action") == "error", "O")
     cell = lambda i: F.max(F.when(slot == i, owner))
-    worth = lambda i: F.max(F.when((slot == i) & owner.isNull(), F.col("worth")))
+    worth = lambda i: F.max(F.when((slot == i) & owner.isNull(), F.col("value")))
     runs = steps.groupBy("seq_id", F.floor(F.col("ply") / 9).cast("bigint").alias("run")).agg(
         F.array(*[cell(i) for i in range(9)]).alias("cells"), F.array(*[worth(i) for i in range(9)]).alias("worth")
     )
@@ -85,7 +82,7 @@ def canonical_states(boards):
 
 
 def board_vocabulary(extended=False, supplied=()):
-    vocabulary = Vocabulary().extend(occupancy_features(F.col("cells"), F.col("mover"), ORBITS, LINES, extended))
+    vocabulary = Vocabulary().extend(occupancy_features("cells", "mover", ORBITS, LINES, extended))
     return vocabulary.extend(supplied)
 
 

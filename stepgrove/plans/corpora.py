@@ -26,8 +26,8 @@ def seat_player(ply):
     return F.when(ply % 2 == 0, F.lit(PLAYERS[0])).otherwise(F.lit(PLAYERS[1]))
 
 
-def event_steps(spark, folder):
-    return C.number_steps(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "event_type")
+def event_steps(spark, folder, keep=()):
+    return C.number_steps(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "event_type", keep)
 
 
 def event_sequences(steps):
