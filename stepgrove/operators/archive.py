@@ -113,11 +113,12 @@ def _spec(new, old):
     return out
 
 
-def _nearest(_, new, old):
+def _nearest(pair):
     """Per new entry of one block pair: least distances to the earlier entries of the other block."""
+    new = pair[pair["_new"]].reset_index(drop=True)
+    old = pair[~pair["_new"]].sort_values("sequence", ignore_index=True)
     if not len(new) or not len(old):
         return pd.DataFrame({"sequence": [], "spec": [], "behaviour": [], "best": [], "nearest": []})
-    old = old.sort_values("sequence", ignore_index=True)
     earlier = old["sequence"].to_numpy()[None, :] < new["sequence"].to_numpy()[:, None]
     behaviour = np.where(earlier, _behaviour(new, old), np.inf)
     spec = np.where(earlier, _spec(new, old), np.inf)
@@ -150,14 +151,15 @@ def novelty(entries, first_new=0, block_rows=BLOCK_ROWS):
         "sequence", "entry_id", "kind", "depth", "epsilon", "tie_break", "rules", "sample_id", "signature"
     ).withColumn("_b", block)
     new = whole.filter(F.col("sequence") >= first_new)
-    tested = new.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b"))))
-    first_block = F.greatest(F.col("_b"), F.lit(first_new // block_rows).cast("bigint"))
-    prior = whole.withColumn("_j", F.col("_b")).withColumn(
-        "_i", F.explode(F.sequence(first_block, F.lit(last_block).cast("bigint")))
+    old_blocks = F.sequence(F.lit(0).cast("bigint"), F.col("_b"))
+    new_blocks = F.sequence(
+        F.greatest(F.col("_b"), F.lit(first_new // block_rows).cast("bigint")), F.lit(last_block).cast("bigint")
     )
+    tested = new.select("*", F.lit(True).alias("_new"), F.col("_b").alias("_i"), F.explode(old_blocks).alias("_j"))
+    prior = whole.select("*", F.lit(False).alias("_new"), F.explode(new_blocks).alias("_i"), F.col("_b").alias("_j"))
     found = (
-        tested.groupBy("_i", "_j")
-        .cogroup(prior.groupBy("_i", "_j"))
+        tested.unionByName(prior)
+        .groupBy("_i", "_j")
         .applyInPandas(_nearest, "sequence bigint, spec double, behaviour double, best double, nearest bigint")
         .groupBy("sequence")
         .agg(
