@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.symmetry import canonical_form, digits_code, move_positions
 from ..operators import dataset as D
-from ..operators.features import Vocabulary, occupancy_features
+from ..operators.features import Feature, Vocabulary, occupancy_features, realizable
 from .corpora import PLAYERS, event_steps
 
 # Generators of the board symmetry, the win lines and the position orbits.
@@ -86,6 +86,39 @@ def board_vocabulary(extended=False, supplied=()):
     return vocabulary.extend(supplied)
 
 
+def supplied_features():
+    """Worked example of a supplied (tier 2) feature set: line counts per player, threats and key cells."""
+
+    def native(name, kind, sql, description, *helpers):
+        return Feature(name, "supplied", kind, description, F.expr(f"cast({sql} as bigint)" if kind == "int" else sql), None, helpers)
+
+    held = lambda line, who: f"size(filter(array({', '.join(map(str, line))}), p -> coalesce(cells[p] = {who}, false)))"
+    other = "if(mover = 'X', 'O', 'X')"
+    shape = {
+        "_ours": F.expr(f"array({', '.join(held(line, 'mover') for line in LINES)})"),
+        "_others": F.expr(f"array({', '.join(held(line, other) for line in LINES)})"),
+    }
+    open_line = lambda mine, theirs, n: [f"{mine}[{k}] = {n} and {theirs}[{k}] = 0" for k in range(len(LINES))]
+    through = lambda tests, p: " + ".join(f"if({t}, 1, 0)" for t, line in zip(tests, LINES) if p in line)
+    cells = lambda tests, n: "filter(array({}), p -> p is not null)".format(
+        ", ".join(f"if(cells[{p}] is null and {through(tests, p)} >= {n}, {p}, null)" for p in range(9))
+    )
+    out = [
+        native(f"ttt.line{k}.{who.lower()}", "int", held(line, f"'{who}'"), f"{who} marks on line {k}")
+        for k, line in enumerate(LINES) for who in PLAYERS
+    ]
+    ours, others, single = open_line("_ours", "_others", 2), open_line("_others", "_ours", 2), open_line("_ours", "_others", 1)
+    total = lambda tests: " + ".join(f"if({t}, 1, 0)" for t in tests)
+    return out + [
+        native("ttt.threats.mine", "int", total(ours), "lines the mover can complete", shape),
+        native("ttt.threats.theirs", "int", total(others), "lines the opponent can complete", shape),
+        native("ttt.winning_cells", "set", cells(ours, 1), "cells that complete a line", shape),
+        native("ttt.blocking_cells", "set", cells(others, 1), "cells that stop a line", shape),
+        native("ttt.fork_cells", "set", cells(single, 2), "cells that make two threats", shape),
+        native("ttt.win_available", "bool", f"size({cells(ours, 1)}) > 0", "a line can be completed", shape),
+    ]
+
+
 def board_dataset(spark, folder, extended=False):
     """(collapsed states, labelled dataset, vocabulary) of the event boards."""
     states = canonical_states(event_boards(spark, folder))
@@ -132,8 +165,6 @@ once AS (SELECT *, string_split(image, '') AS cells FROM ranked WHERE rn = 1)"""
 
 def feature_sql(extended=False):
     """(name, kind, SQL over ``cells`` text list and ``mover``) of the occupancy features, in order."""
-    from ..operators.features import realizable
-
     test = {"free": "cells[p + 1] = '.'", "mine": "cells[p + 1] = mover", "theirs": "cells[p + 1] <> '.' AND cells[p + 1] <> mover"}
     out = [(k, "set", f"list_filter(range(0, 9), lambda p: {t})") for k, t in test.items()]
     for label, groups in (("orbit", ORBITS), ("line", LINES)):
