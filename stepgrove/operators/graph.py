@@ -1,10 +1,8 @@
 """State graphs given as an edge table: reachability levels and values by backward induction."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import store
 from .skew import skew_join
 
 BROADCAST_ROWS = 100_000
@@ -13,25 +11,28 @@ BROADCAST_ROWS = 100_000
 def reach(edges, start, limit=None):
     """(state, level) of everything reachable from ``start`` (column ``state``), by discovery level.
 
-    ``edges`` has src and dst. Each level is checkpointed. More than ``limit`` states is an error.
+    ``edges`` has src and dst. Each level is written out before the next one. More than ``limit`` states
+    is an error.
     """
-    level = materialize(start.select("state").distinct().withColumn("level", F.lit(0)))
-    levels, found, n = [level], level.count(), level.count()
+    spark = edges.sparkSession
+    shape = start.select("state", F.lit(0).alias("level")).schema
+    read = lambda *paths: spark.read.schema(shape).parquet(*paths)
+    path, n = store(start.select("state").distinct().withColumn("level", F.lit(0)))
+    paths, found = [path], n
     while n:
         if limit is not None and found > limit:
             raise ValueError(f"more than {limit} states are reachable")
-        frontier = level.select(F.col("state").alias("src"))
+        frontier = read(paths[-1]).select(F.col("state").alias("src"))
         if n <= BROADCAST_ROWS:
             step = edges.join(F.broadcast(frontier), "src", "left_semi")
         else:
             step = skew_join(edges, frontier, ["src"], ["dst"])
-        seen = reduce(lambda a, b: a.unionByName(b), levels).select("state")
-        fresh = step.select(F.col("dst").alias("state")).distinct().join(seen, "state", "left_anti")
-        level = materialize(fresh.withColumn("level", F.lit(len(levels))))
-        levels.append(level)
-        n = level.count()
+        fresh = step.select(F.col("dst").alias("state")).distinct()
+        fresh = fresh.join(read(*paths).select("state"), "state", "left_anti")
+        path, n = store(fresh.withColumn("level", F.lit(len(paths))))
+        paths.append(path)
         found += n
-    return reduce(lambda a, b: a.unionByName(b), levels[:-1] or levels)
+    return read(*paths)
 
 
 def backward_induction(edges, terminals, levels):
@@ -41,22 +42,25 @@ def backward_induction(edges, terminals, levels):
     leads to a higher level. Returns (values: state, value) and (optimal edges: state, action, dst);
     all edges that reach the best value are kept.
     """
+    spark = edges.sparkSession
     placed = skew_join(edges, levels.select(F.col("state").alias("src"), "level"), ["src"], ["dst"])
-    placed = materialize(placed)
-    solved = [materialize(terminals.select("state", F.col("value").cast("int").alias("value")))]
-    optimal = []
+    path, n = store(placed.select("src", "action", "dst", "level"), ["level"])
+    placed = spark.read.schema(placed.select("src", "action", "dst", "level").schema).parquet(path)
+    ends = terminals.select("state", F.col("value").cast("int").alias("value"))
+    read = lambda *paths: spark.read.schema(ends.schema).parquet(*paths)
+    solved = [store(ends)[0]]
     for level in sorted((r["level"] for r in placed.select("level").distinct().collect()), reverse=True):
-        known = reduce(lambda a, b: a.unionByName(b), solved).select(
-            F.col("state").alias("dst"), (-F.col("value")).alias("worth")
-        )
-        here = skew_join(placed.filter(F.col("level") == level), known, ["dst"], ["src", "action"])
-        best = materialize(here.groupBy(F.col("src").alias("state")).agg(F.max("worth").alias("value")))
-        solved.append(best)
-        scored = skew_join(here.withColumnRenamed("src", "state"), best, ["state"], ["action", "dst"])
-        optimal.append(scored.filter(F.col("worth") == F.col("value")).select("state", "action", "dst"))
-    union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
-    empty = edges.select(F.col("src").alias("state"), "action", "dst").limit(0)
-    return union(solved), union(optimal or [empty])
+        known = read(*solved).select(F.col("state").alias("dst"), (-F.col("value")).alias("worth"))
+        here = skew_join(placed.filter(F.col("level") == level), known, ["dst"], ["src", "action"], max_rows=n)
+        best = here.groupBy(F.col("src").alias("state")).agg(F.max("worth").alias("value"))
+        solved.append(store(best)[0])
+    values = read(*solved)
+    parent = values.select(F.col("state").alias("src"), "value")
+    child = values.select(F.col("state").alias("dst"), (-F.col("value")).alias("worth"))
+    scored = skew_join(placed.drop("level"), child, ["dst"], ["src", "action"], max_rows=n)
+    scored = skew_join(scored, parent, ["src"], ["dst", "action"], max_rows=n)
+    optimal = scored.filter(F.col("worth") == F.col("value"))
+    return values, optimal.select(F.col("src").alias("state"), "action", "dst")
 
 
 def optimal_sets(optimal):

@@ -5,14 +5,15 @@ from pyspark.sql import functions as F
 from .ordering import HOT_ROWS, MAX_HOT_GROUPS
 
 
-def skew_join(rows, groups, keys, spread, how="inner", hot_rows=HOT_ROWS):
+def skew_join(rows, groups, keys, spread, how="inner", hot_rows=HOT_ROWS, max_rows=None):
     """Join ``rows`` to ``groups`` (unique on ``keys``), dealing hot keys out over several tasks.
 
     Keys above the limit get one copy of their group row per slice; ``spread`` names the columns whose
     hash picks the slice. At most MAX_HOT_GROUPS keys can pass the limit, so their table is broadcast.
+    ``max_rows`` is a known bound on the rows that saves counting.
     """
     keys = list(keys)
-    n = rows.count()
+    n = rows.count() if max_rows is None or max_rows > hot_rows else max_rows
     if n <= hot_rows:
         return rows.join(groups, keys, how)
     limit = max(hot_rows, n // MAX_HOT_GROUPS)

@@ -1,8 +1,10 @@
 """Session helpers: a local session for tests and benches, and the checkpoint folder."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores="*", shuffle_partitions=8, name="stepgrove"):
@@ -19,21 +21,30 @@ def local_session(cores="*", shuffle_partitions=8, name="stepgrove"):
     )
 
 
-def ensure_checkpoint_dir(spark):
-    """Use the folder named by ``spark.checkpoint.dir``; only a local master may fall back to /tmp."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def checkpoint_folder(spark):
+    """The folder named by ``spark.checkpoint.dir``; only a local master may fall back to a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stepgrove-checkpoint-"))
-    else:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    folder = tempfile.mkdtemp(prefix="stepgrove-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def materialize(df):
-    """Cut lineage with a reliable checkpoint, so a lost executor never loses the result."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def store(df, partition_by=()):
+    """Write ``df`` below the checkpoint folder. Returns (path, number of rows).
+
+    A written table cuts lineage, survives lost executors, and gives later joins its real size.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(*partition_by).parquet(path)
+    return path, seen.get["rows"]
+
+
+def materialize(df, partition_by=()):
+    """``df`` written out and read back."""
+    path, _ = store(df, partition_by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

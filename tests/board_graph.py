@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from stepgrove.plans.boards import LINES
+from stepgrove.session import materialize
 
 WON = " or ".join(
     "(" + " and ".join(f"substring(board, {p + 1}, 1) = '{who}'" for p in line) + ")" for who in "XO" for line in LINES
@@ -17,10 +18,10 @@ def board_graph(spark):
     states, edges = [], []
     for ply in range(10):
         mover = "X" if ply % 2 == 0 else "O"
-        here = level.select(
+        here = materialize(level.select(
             "board", F.concat("board", F.lit(f":{mover}")).alias("state"), F.lit(mover).alias("mover"),
             F.expr(WON).alias("won"), (~F.contains("board", F.lit("."))).alias("full"),
-        ).persist()
+        ))
         states.append(here)
         other = "O" if mover == "X" else "X"
         moves = (
@@ -36,4 +37,4 @@ def board_graph(spark):
         "state", "board", "mover", (F.col("won") | F.col("full")).alias("terminal"),
         F.when(F.col("won"), -1).otherwise(0).alias("value"),
     )
-    return all_states, union(edges)
+    return materialize(all_states), materialize(union(edges))

@@ -11,12 +11,12 @@ from stepgrove.operators import graph as G
 from stepgrove.operators import rules as R
 from stepgrove.operators.features import Vocabulary, occupancy_features, side_to_move
 from stepgrove.plans import boards as B
+from stepgrove.session import materialize
 
 
 @pytest.fixture(scope="module")
 def graph(spark):
     states, edges = board_graph(spark)
-    states, edges = states.persist(), edges.persist()
     assert states.count() == 5478 and edges.count() == 16167
     return states, edges
 
@@ -24,9 +24,9 @@ def graph(spark):
 @pytest.fixture(scope="module")
 def solved(spark, graph):
     states, edges = graph
-    levels = G.reach(edges, spark.createDataFrame([(".........:X",)], "state string"), limit=1_000_000).persist()
+    levels = G.reach(edges, spark.createDataFrame([(".........:X",)], "state string"), limit=1_000_000)
     values, optimal = G.backward_induction(edges, states.filter("terminal").select("state", "value"), levels)
-    return levels, values.persist(), G.optimal_sets(optimal).persist()
+    return levels, values, materialize(G.optimal_sets(optimal))
 
 
 @pytest.fixture(scope="module")
@@ -38,13 +38,13 @@ def annotations(graph, solved):
     places = F.sequence(F.lit(0), F.lit(8))
     rows = rows.withColumn("legal", F.filter(places, lambda p: F.element_at("cells", p + 1).isNull()))
     form = rows.withColumn("_f", B.canonical_board(F.col("cells")))
-    return form.select(
+    return materialize(form.select(
         "state", "mover", "terminal", "value", F.col("_f.image").alias("cells"),
         F.concat(B.board_text(F.col("_f.image")), F.lit(":"), F.col("mover")).alias("canonical_state"),
         move_positions(F.col("legal"), F.col("_f.permutation")).alias("legal"),
         move_positions(F.coalesce("optimal", F.array().cast("array<int>")), F.col("_f.permutation")).alias("optimal"),
         F.col("_f.code").alias("code"),
-    ).persist()
+    ))
 
 
 def vocabulary(extended=False, supplied=True):
@@ -56,7 +56,7 @@ def vocabulary(extended=False, supplied=True):
 @pytest.fixture(scope="module")
 def labelled(spark, annotations):
     once = D.collapse(annotations, "canonical_state", ("state",), ("cells", "mover", "value", "legal", "optimal"))
-    return D.build_dataset(once, vocabulary()).persist()
+    return materialize(D.build_dataset(once, vocabulary()))
 
 
 def test_group():
