@@ -57,10 +57,21 @@ class Tree:
         return route(self.nodes, values)
 
 
+SMALL_TREE = 127
+
+
 def route(nodes, values):
+    """Node a row ends in: nested conditions for small trees, an array walk for large ones."""
     steps = max(len(n.path) for n in nodes)
-    if steps == 0:
-        return F.lit(0)
+    if len(nodes) <= SMALL_TREE:
+
+        def branch(i):
+            n = nodes[i]
+            if n.is_leaf:
+                return F.lit(i)
+            return F.when(F.element_at(values, n.column + 1) <= n.threshold, branch(n.left)).otherwise(branch(n.right))
+
+        return branch(0)
     table = json.dumps({
         "column": [n.column for n in nodes],
         "threshold": [n.threshold for n in nodes],
