@@ -350,13 +350,15 @@ class Induction:
     dataset: object
 
 
-def induce_concepts(dataset, vocabulary, params=InductionParams(), key="canonical_state"):
+def induce_concepts(dataset, vocabulary, params=InductionParams(), key="canonical_state", stored=False):
     """Greedy rounds: enumerate, probe each shortlisted concept with a mined list, promote what helps.
 
     ``dataset`` holds values, label, qualifying, occurrences and value (-1, 0, 1). A promoted concept is
-    appended to ``values`` and to the vocabulary, so later rounds can build on it.
+    appended to ``values`` and to the vocabulary, so later rounds can build on it. ``stored`` says that
+    ``dataset`` is already a plain table.
     """
     params.validate()
+    dataset = dataset if stored else R.stored_dataset(dataset, key)
     classes = vocabulary.set_features()
     held = F.lit(False)
     if params.holdout_fraction:

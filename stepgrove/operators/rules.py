@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions import sets
 from ..functions.scalars import ratio, seeded_hash
+from ..session import materialize
 from . import tree as trees
 from .dataset import NO_LABEL
 from .features import Vocabulary
@@ -256,9 +257,21 @@ def summarize_scores(rows):
     }
 
 
-def mine(dataset, vocabulary, params=MineParams(), key="canonical_state"):
-    """One candidate per requested depth over the same train/holdout split."""
+LEARNED = ("values", "label", "qualifying", "occurrences", "value")
+
+
+def stored_dataset(dataset, key):
+    """The columns learning reads, written out once: every level and round scans them again."""
+    return materialize(dataset.select(key, *LEARNED))
+
+
+def mine(dataset, vocabulary, params=MineParams(), key="canonical_state", stored=False):
+    """One candidate per requested depth over the same train/holdout split.
+
+    ``stored`` says that ``dataset`` is already a plain table, so it need not be written out.
+    """
     params.validate()
+    dataset = dataset if stored else stored_dataset(dataset, key)
     holdout = None
     if params.holdout_fraction:
         holdout = holdout_condition(dataset, F.col(key), params.seed, params.holdout_fraction)

@@ -13,6 +13,7 @@ from ..operators import rules as R
 from ..operators import summary as S
 from ..operators import usage as U
 from ..operators.features import Vocabulary
+from ..session import materialize
 
 
 @dataclass
@@ -72,7 +73,7 @@ def _dataset(inputs, options, results):
         raise ValueError("analyzer `dataset` requires a vocabulary and collapsed states")
     D.require_rows(inputs.states)
     results.vocabulary = options.vocabulary
-    results.dataset = D.build_dataset(inputs.states, options.vocabulary)
+    results.dataset = materialize(D.build_dataset(inputs.states, options.vocabulary))
     return results.dataset
 
 
@@ -85,7 +86,7 @@ def _concepts(inputs, options, results):
     if options.induction is None:
         raise ValueError("analyzer `concepts` requires induction parameters")
     _need_dataset(results, "concepts")
-    found = I.induce_concepts(results.dataset, results.vocabulary, options.induction, options.key)
+    found = I.induce_concepts(results.dataset, results.vocabulary, options.induction, options.key, stored=True)
     results.dataset, results.vocabulary = found.dataset, found.vocabulary
     rows = [(c.name, c.definition(), c.round, c.train_gain, c.holdout_gain, c.rules_before, c.rules_after,
              c.soundness_before, c.soundness_after) for c in found.concepts]
@@ -97,7 +98,7 @@ def _concepts(inputs, options, results):
 
 def _mine(inputs, options, results):
     _need_dataset(results, "mine")
-    results.mined = R.mine(results.dataset, results.vocabulary, options.mining, options.key)
+    results.mined = R.mine(results.dataset, results.vocabulary, options.mining, options.key, stored=True)
     return evidence_frame(inputs.steps.sparkSession, results.mined)
 
 

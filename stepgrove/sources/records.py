@@ -2,7 +2,6 @@
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .schemas import SCHEMA_VERSION
 
@@ -14,11 +13,11 @@ def read_jsonl(spark, path, schema):
 
 def malformed_lines(spark, path, schema):
     """The lines that do not parse, with their file: run it after a FAILFAST error."""
-    fields = T.StructType.fromDDL(schema).add("_corrupt_record", T.StringType())
-    rows = spark.read.schema(fields).option("mode", "PERMISSIVE").json(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), "_corrupt_record").filter(
-        F.col("_corrupt_record").isNotNull()
-    )
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    parsed = F.from_json("line", f"{schema}, _corrupt_record STRING", {"mode": "PERMISSIVE"})
+    return lines.filter(F.trim("line") != "").withColumn("_p", parsed).filter(
+        F.col("_p._corrupt_record").isNotNull()
+    ).select("file", "line")
 
 
 def write_jsonl(df, path, mode="errorifexists"):
