@@ -61,19 +61,22 @@ class Thresholds:
 def diversity_metrics(sequences, states, known_canonical=None):
     """One row of corpus metrics from sequences (result, fingerprint) and a :func:`distinct_states` row."""
     known = F.lit(known_canonical).cast("bigint")
-    found = states.select("distinct_states").scalar(), states.select("distinct_canonical_states").scalar()
-    return sequences.agg(
-        F.count(F.lit(1)).alias("sequences"),
-        F.sum("length").alias("steps"),
-        F.countDistinct("fingerprint").alias("distinct_sequences"),
-        F.count_if(F.col("result") == "win").alias("decisive"),
-    ).select(
-        "*",
-        found[0].alias("distinct_states"),
-        found[1].alias("distinct_canonical_states"),
-        ratio("distinct_sequences", "sequences").alias("distinct_fraction"),
-        ratio("decisive", "sequences").alias("decisive_fraction"),
-        F.when(known.isNotNull(), ratio(found[1], known)).alias("canonical_coverage"),
+    found = states.select(F.struct("distinct_states", "distinct_canonical_states")).scalar()
+    return (
+        sequences.agg(
+            F.count(F.lit(1)).alias("sequences"),
+            F.sum("length").alias("steps"),
+            F.countDistinct("fingerprint").alias("distinct_sequences"),
+            F.count_if(F.col("result") == "win").alias("decisive"),
+        )
+        .withColumn("_states", found)
+        .select("*", "_states.*")
+        .drop("_states")
+        .withColumns({
+            "distinct_fraction": ratio("distinct_sequences", "sequences"),
+            "decisive_fraction": ratio("decisive", "sequences"),
+            "canonical_coverage": F.when(known.isNotNull(), ratio(F.col("distinct_canonical_states"), known)),
+        })
     )
 
 

@@ -13,6 +13,7 @@ from ..operators.features import Feature
 from . import boards as B
 from .catalog import joined, query, r9, table
 from .corpora import STEPS_SQL, event_steps, windows
+from .discover import list_agreement, play_lists
 
 ITEM_COLUMNS = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
 FLAGS = ["A", "N", "R"]
@@ -190,6 +191,18 @@ def rule_list_signature(spark, folder):
     return signed.select("sample_id", joined("signature").alias("signature"))
 
 
+@query("evaluate_candidates", f"""WITH {STEPS_SQL}, {B.BOARDS_SQL}, {RULES_SQL},
+stacked AS (SELECT 'win-block' AS candidate, value, optimal, action FROM pick UNION ALL
+  SELECT 'any-legal', value, optimal, legal[(('0x' || substr(md5(concat_ws(':', '11', seq_id, run)), 1, 8))::BIGINT % len(legal)) + 1] FROM raw)
+SELECT candidate, value, count(*) AS positions, count(*) FILTER (list_contains(optimal, action)) AS agreeing,
+  round(count(*) FILTER (list_contains(optimal, action)) / count(*), 9) AS agreement_rate FROM stacked GROUP BY 1, 2""")
+def evaluate_candidates(spark, folder):
+    lists = [board_list(), R.DecisionList("any-legal")]
+    states = open_boards(spark, folder)
+    stacked = play_lists(states, lists, 11, F.concat_ws(":", "seq_id", "run"), ["value", "optimal"])
+    return list_agreement(stacked, ["value"]).withColumn("agreement_rate", r9("agreement_rate"))
+
+
 PAIR_SQL = """w AS (SELECT seq_id, ply // 4 AS win, max(CASE WHEN ply % 4 = 0 THEN action END) AS a0, max(CASE WHEN ply % 4 = 1 THEN action END) AS a1,
   max(CASE WHEN ply % 4 = 2 THEN action END) AS a2 FROM steps GROUP BY 1, 2),
 e AS (SELECT DISTINCT concat_ws('>', a0, a1) AS state, a2 AS action, concat_ws('>', a1, a2) AS next FROM w WHERE a2 IS NOT NULL),
