@@ -34,13 +34,19 @@ def sequence_fingerprint(ply, action):
     )
 
 
-def sequence_summary(steps):
-    """One row per sequence: length, first and last action, fingerprint of the whole action list."""
+def sequence_summary(steps, order=("ply",), **extra):
+    """One row per sequence: length, first and last action, fingerprint of the whole action list.
+
+    ``order`` names columns that order the steps of a sequence; with the order columns of the source the
+    step number is only computed when the fingerprint is read. ``extra`` adds aggregates by name.
+    """
+    at = F.struct(*order)
     return steps.groupBy("seq_id").agg(
         F.count(F.lit(1)).alias("length"),
-        F.min_by("action", "ply").alias("first_action"),
-        F.max_by("action", "ply").alias("last_action"),
+        F.min_by("action", at).alias("first_action"),
+        F.max_by("action", at).alias("last_action"),
         sequence_fingerprint(F.col("ply"), F.col("action")).alias("fingerprint"),
+        *[column.alias(name) for name, column in extra.items()],
     )
 
 

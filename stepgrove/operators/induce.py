@@ -70,7 +70,7 @@ def info_gain(rows, candidate, bit, target):
     split = entropy_bits([candidate, bit], counts)
     joined = split.join(base, candidate)
     inside = F.sum(F.col("entropy") * F.col("size") / F.col("total"))
-    return joined.groupBy(candidate).agg((F.first("base") - inside).alias("gain"))
+    return joined.groupBy(candidate).agg((F.max("base") - inside).alias("gain"))
 
 
 def equal_candidates(rows, candidate, row_key, bit):

@@ -32,11 +32,10 @@ def event_steps(spark, folder, keep=()):
 
 def event_sequences(steps):
     """One row per user: a purchase at the end wins for the seat that made it, an error draws."""
-    second = steps.groupBy("seq_id").agg(F.max(F.when(F.col("ply") == 1, F.col("action"))).alias("second_action"))
+    second = F.max(F.when(F.col("ply") == 1, F.col("action")))
     last = F.col("last_action")
     return (
-        C.sequence_summary(steps)
-        .join(second, "seq_id")
+        C.sequence_summary(steps, ("ts", "event_id"), second_action=second)
         .withColumn("result", F.when(last == "purchase", "win").when(last == "error", "draw").otherwise("unfinished"))
         .withColumn("winner", F.when(last == "purchase", seat_player(F.col("length") - 1)))
         .withColumn("strategies", F.array("first_action", "second_action"))

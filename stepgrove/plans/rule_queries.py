@@ -10,6 +10,7 @@ from ..operators import rules as R
 from ..operators import tree as T
 from ..operators import usage as U
 from ..operators.features import Feature
+from ..session import materialize
 from . import boards as B
 from .catalog import joined, query, r9, table
 from .corpora import STEPS_SQL, event_steps, windows
@@ -323,10 +324,10 @@ def induction_rows(spark, folder):
     docs = labelled_documents(spark, folder)
     as_number = lambda n, k: F.col(n).cast("int").cast("double") if k == "bool" else F.col(n).cast("double")
     held = R.holdout_condition(docs, F.col("doc_id"), INDUCE.seed, INDUCE.holdout_fraction)
-    return docs.select(
+    return materialize(docs.select(
         F.array(*[as_number(f.name, f.kind) for f in DOC_FEATURES]).alias("values"),
         F.col("toxic").alias("target"), F.col("quality").alias("label"), held.alias("held"),
-    )
+    ))
 
 
 ENUMERATE_SQL = f"""WITH {DOC_SQL},
