@@ -11,7 +11,7 @@ from ..operators import graph as G
 from ..operators.ordering import ordinal, running
 from ..operators.skew import skew_join
 from .catalog import joined, query, r9, table
-from .corpora import STEPS_SQL, event_steps
+from .corpora import STEPS_SQL
 
 CONTEST_SQL = """c AS (SELECT c_mktsegment AS candidate, n_name AS opponent, o_orderkey % 2 AS seat,
   CASE WHEN o_orderstatus = 'P' THEN 'unfinished' WHEN o_orderstatus = 'O' THEN 'draw'
