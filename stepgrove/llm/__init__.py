@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, their queries and the SQL they are checked against."""
 
 from .catalog import ORACLES, QUERIES
-from . import exact_dedup  # noqa: F401
+from . import exact_dedup, language, mixing, packing, simhash  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
