@@ -37,6 +37,7 @@ def remember(spark, arrivals, state):
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # one pass: a store is done when its task is
     session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     schema = spark.read.parquet(arrivals).schema
     entries = (
