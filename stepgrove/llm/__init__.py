@@ -1,6 +1,16 @@
 """Operators of a training-data pipeline, their queries and the SQL they are checked against."""
 
 from .catalog import ORACLES, QUERIES
-from . import exact_dedup, language, mixing, packing, simhash  # noqa: F401
+from . import (  # noqa: F401
+    exact_dedup,
+    language,
+    line_dedup,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    toxicity,
+    warc,
+)
 
 __all__ = ["ORACLES", "QUERIES"]
