@@ -1,9 +1,14 @@
 """Operators of a training-data pipeline, their queries and the SQL they are checked against."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .catalog import ORACLES, QUERIES
 from . import (  # noqa: F401
     exact_dedup,
     language,
+    licenses,
     line_dedup,
     mixing,
     packing,
@@ -13,4 +18,7 @@ from . import (  # noqa: F401
     warc,
 )
 
+# Tasks carry this code with them, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["ORACLES", "QUERIES"]

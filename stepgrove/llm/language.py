@@ -11,6 +11,7 @@ Trigrams are counted per language in the tasks and summed by Spark, so the drive
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .catalog import fraction_of_crc, query, table
 
@@ -157,9 +158,8 @@ def predict(docs, codes, text="text", prefix=""):
             columns = [pa.array(x, t) for x, t in zip(zip(*found) if found else ([], [], []), (pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *columns], names=[*names, *added])
 
-    schema = docs.schema
-    for name, kind in zip(added, ("string", "double", "boolean")):
-        schema = schema.add(name, kind)
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, added, kinds)])
     return docs.withColumn(spare, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 

@@ -8,27 +8,31 @@ Everything is array functions inside a row; only the sums per language are shuff
 hashes: most documents have none and stop there, the others are sorted within the row.
 """
 
+import math
+
 from pyspark.sql import functions as F
 
 from stepgrove.session import materialize
 
-from .catalog import BLANKS, query, table, words
+from .catalog import query, table, words
 
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
-#: Largest distances to a language reference, and the words a text needs for either comparison to count.
+#: Largest distances to a language reference, and the words a text needs for either comparison to count. The distance
+#: of common words is a share of the distance that a text without any common word has.
 MOST_CLASSES = 0.30
-MOST_COMMON = 0.60
+MOST_COMMON = 0.90
 CLASSES_GUARD = 20
-COMMON_GUARD = 50
+COMMON_GUARD = 100
 #: Languages at most; their references are literals of the plan.
 MAX_LANGUAGES = 64
 
-#: Character classes as patterns, and the most common words of four languages.
-CLASSES = [r"[^\p{Ll}]+", r"[^\p{Lu}]+", r"[^\p{N}]+", r"[^\p{P}]+", r"[^\x20\x09-\x0D]+"]
+#: Character classes as patterns of all else (white space is one more), and the most common words of four
+#: languages.
+CLASSES = [r"[^\p{Ll}]+", r"[^\p{Lu}]+", r"[^\p{N}]+", r"[^\p{P}]+"]
 COMMON = {
     "de": "der die und das von ist ein eine nicht sich mit zu den des auf für im dem es an".split(),
     "en": "the of and to in is that for it with as was on by at this are from be or".split(),
@@ -45,10 +49,18 @@ def _let(value, body):
 def repeated_words(found, window=WINDOW):
     """The number of words in windows of so many words that occur twice or more, from an array of words.
 
-    Windows are told apart by 64-bit hashes.
+    ``window`` is a power of two. Windows are told apart by 64-bit hashes, made from those of their halves.
     """
     n = F.size(found) - (window - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(found, i, window)))
+
+    def widen(h, width):
+        """Hashes of runs of twice the width, from hashes of runs of ``width`` words."""
+        return _let(h, lambda x: F.zip_with(x, F.slice(x, width + 1, F.size(x)), lambda a, b: F.xxhash64(a, b)))
+
+    hashes, width = F.transform(found, lambda w: F.xxhash64(w)), 1
+    while width < window:
+        hashes, width = widen(hashes, width), 2 * width
+    hashes = F.slice(hashes, 1, n)
 
     def covered(h):
         placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -73,16 +85,17 @@ def measures(docs, id="doc_id", text="text", lang="lang"):
     rows = docs.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.withColumn("words", words(F.col("text")))
     length = F.length("text")
-    without = lambda chars: F.length(F.translate("text", chars, ""))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    classes = [F.length(F.regexp_replace("text", p, "")) for p in CLASSES]
-    letters = F.filter(F.transform("words", F.lower), lambda w: w.isin(vocabulary))
-    common = _let(letters, lambda m: F.transform(F.array(*map(F.lit, vocabulary)), lambda w: F.size(m) - F.size(F.array_remove(m, w))))
+    word_chars = F.length(F.array_join("words", ""))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    classes = [*(F.length(F.regexp_replace("text", p, "")) for p in CLASSES), length - word_chars]
+    written = [*vocabulary, *(w.capitalize() for w in vocabulary), *(w.upper() for w in vocabulary)]
+    found = F.transform(F.filter("words", lambda w: w.isin(written)), F.lower)
+    common = _let(found, lambda m: F.transform(F.array(*map(F.lit, vocabulary)), lambda w: F.size(m) - F.size(F.array_remove(m, w))))
     return rows.select(
         "id", "lang",
         F.size("words").cast("bigint").alias("n_words"),
-        without(BLANKS).cast("bigint").alias("word_chars"),
-        (length - without(SYMBOLS)).cast("bigint").alias("n_symbols"),
+        word_chars.cast("bigint").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("bigint").alias("n_repeat_words"),
         length.cast("bigint").alias("n_points"),
@@ -95,14 +108,14 @@ def references(rows):
     """{language: (shares of the classes and the rest, shares of its common words and the rest)} over all of ``rows``."""
     vocabulary = sorted({w for some in COMMON.values() for w in some})
     sums = [F.sum("n_words").alias("n_words"), F.sum("n_points").alias("n_points")]
-    sums += [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
+    sums += [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
     sums += [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(vocabulary))]
     found = rows.filter("lang IS NOT NULL AND n_words > 0").groupBy("lang").agg(*sums).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     out = {}
     for r in found:
-        classes = [r[f"c{i}"] for i in range(len(CLASSES))]
+        classes = [r[f"c{i}"] for i in range(len(CLASSES) + 1)]
         own = [r[f"w{vocabulary.index(w)}"] for w in COMMON.get(r["lang"], [])]
         out[r["lang"]] = (
             [c / r["n_points"] for c in [*classes, r["n_points"] - sum(classes)]],
@@ -125,6 +138,15 @@ def divergence(counts, total, shares):
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
+def without_any(shares):
+    """The distance to reference shares of a text that has only the last, the rest."""
+    rest = shares[-1]
+    middle = (1 + rest) / 2
+    own = math.log2(1 / middle)
+    theirs = sum(s * math.log2(2) for s in shares[:-1] if s > 0) + (rest * math.log2(rest / middle) if rest > 0 else 0.0)
+    return math.sqrt((own + theirs) / 2)
+
+
 def judge(rows, known):
     """``rows`` with base_failed, nearest (language), class_distance, common_distance and kept."""
     vocabulary = sorted({w for some in COMMON.values() for w in some})
@@ -133,7 +155,7 @@ def judge(rows, known):
     wide = F.transform("classes", lambda x: x.cast("bigint"))
     for lang, (classes, common) in known.items():
         own = F.array(*[F.get("common", F.lit(vocabulary.index(w))).cast("bigint") for w in COMMON.get(lang, [])])
-        far = divergence(own, F.col("n_words"), common) if common else F.lit(0.0)
+        far = divergence(own, F.col("n_words"), common) / F.lit(without_any(common)) if common else F.lit(0.0)
         near = divergence(wide, F.col("n_points"), classes)
         compared.append(F.struct((near / MOST_CLASSES + far / MOST_COMMON).alias("rank"), F.lit(lang).alias("lang"), near.alias("classes"), far.alias("common")))
     usable = (F.col("n_words") >= min(CLASSES_GUARD, COMMON_GUARD)) & F.lit(bool(known))

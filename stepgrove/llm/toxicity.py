@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms that labelled toxic texts hold more often than others (chi-square) make the vocabulary. Labelled texts become
-TF-IDF vectors over it; equal vectors are one example with the votes of all its texts. An inverted index keeps the
+TF-IDF vectors over it, with one more dimension for all other words, so that the amount of marking terms counts;
+equal vectors are one example with the votes of all its texts. An inverted index keeps the
 postings in blocks with the largest weight of each term per block: blocks are opened in order of the bound this gives
 on any cosine inside, until the bound falls to the k-th best cosine, so the k nearest are exact. Votes weigh by
 closeness and by the share of its class an example stands for, and are smoothed towards the base rate.
@@ -26,55 +27,118 @@ TERMS = 256
 LEAST_TEXTS = 5
 LEAST_SHARE = 0.05
 #: Neighbours that vote, examples per index block, softness of the closeness weight, pseudo-votes of the base rate.
-NEIGHBOURS = 10
+NEIGHBOURS = 20
 BLOCK = 64
 SOFT = 0.05
 SMOOTH = 1.0
 #: Scores a task remembers by vector.
 REMEMBERED = 50_000
 
-_TERM = re.compile(r"[^\W\d_]+")
+#: Lengths of the word beginnings that are terms beside the words, for words that change their endings.
+STEMS = (3, 4, 5, 6)
+#: Words and sums a task remembers.
+WORDS_KEPT = 300_000
+SUMS_KEPT = 500_000
 
+_WORD = re.compile(r"[^\W\d_]+")
 
-def terms_of(data):
+
+def words_of(data):
     """The lower-cased runs of letters of a text given as UTF-8 bytes or None."""
-    return _TERM.findall(data.decode("utf-8", "replace").lower()) if data else []
+    return _WORD.findall(data.decode("utf-8", "replace").lower()) if data else []
+
+
+def terms_of_word(word):
+    """The word, and its beginnings marked by a hyphen."""
+    return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
 
 
 def examples(docs, labels):
-    """(digest, toxic, example, terms, counts) of the sampled labelled texts, equal texts once."""
-    labelled = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """(digest, toxic, example, text) of the sampled labelled texts, equal texts once; and the labels by document."""
+    labelled = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     pick = lambda k: labelled.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     sample = F.broadcast(pick(0).unionByName(pick(1)))  # 2 x EXAMPLES rows of two numbers
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(sample, "doc_id")
-
-    def run(batches):
-        for batch in batches:
-            found = [np.unique(terms_of(t), return_counts=True) if t else ((), ()) for t in batch.column("text").to_pylist()]
-            keep = [batch.column(c) for c in ("doc_id", "toxic", "digest")]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array([list(map(str, t)) for t, _ in found], pa.list_(pa.string())), pa.array([list(map(int, n)) for _, n in found], pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "digest", "terms", "counts"],
-            )
-
-    schema = "doc_id bigint, toxic int, digest string, terms array<string>, counts array<int>"
-    keyed = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("digest"), "text")
-    return keyed.mapInArrow(run, schema).groupBy("digest").agg(
-        F.max("toxic").alias("toxic"), F.min("doc_id").alias("example"), F.min(F.struct("terms", "counts")).alias("v")
-    ).select("toxic", "example", "v.*"), labelled
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(sample, "doc_id")
+    return rows.withColumn("digest", F.sha2("text", 256)).groupBy("digest").agg(
+        F.max("toxic").alias("toxic"), F.min("doc_id").alias("example"), F.any_value("text").alias("text")
+    ), labelled
 
 
 def vocabulary(rows, n0, n1):
     """The terms that mark toxic texts, with the number of texts that hold them: at most TERMS rows."""
-    held = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
-    )
-    n, a, b = n0 + n1, F.col("a"), F.col("b")
+
+    def run(batches):
+        sums = {}
+
+        def flush():
+            found = list(sums.items())
+            sums.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in found], pa.string()), *[pa.array([n[k] for _, n in found], pa.int64()) for k in (1, 0)]],
+                names=["term", "a", "b"],
+            )
+
+        for batch in batches:
+            for data, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for term in {t for w in set(words_of(data)) for t in terms_of_word(w)}:
+                    sums.setdefault(term, [0, 0])[toxic] += 1
+                if len(sums) > SUMS_KEPT:
+                    yield flush()
+        yield flush()
+
+    held = rows.select("text", "toxic").mapInArrow(run, "term string, a bigint, b bigint")
+    held = held.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n, a, b = n0 + n1, F.col("a").cast("double"), F.col("b").cast("double")
     off = a * n0 - b * n1
     chi = off * off * n / ((a + b) * (n - a - b) * float(n0 * n1))
-    scored = held.filter((a + b >= LEAST_TEXTS) & (a + b < n) & (off > 0)).withColumn("chi", chi.cast("double"))
-    best = scored.orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    return {r["term"]: (i, r["a"] + r["b"]) for i, r in enumerate(best) if r["chi"] >= LEAST_SHARE * best[0]["chi"]}
+    scored = held.filter((a + b >= LEAST_TEXTS) & (a + b < n) & (off > 0)).withColumn("chi", chi)
+    best = scored.orderBy(F.desc("chi"), F.desc(F.length("term")), "term").limit(TERMS).collect()
+    chosen, bare = {}, []
+    for r in best:
+        stem = r["term"].rstrip("-")
+        if r["chi"] >= LEAST_SHARE * best[0]["chi"] and not any(stem.startswith(x) or x.startswith(stem) for x in bare):
+            bare.append(stem)  # a word and its beginnings say the same: the best of them stays
+            chosen[r["term"]] = (len(chosen), r["a"] + r["b"])
+    return chosen
+
+
+class Counter:
+    """Counts of the vocabulary's terms in a text, as a sorted tuple of (term number, count).
+
+    The last pair is a number beyond the terms and the power of two next to the number of other words. Texts without
+    any term give an empty tuple.
+    """
+
+    def __init__(self, terms):
+        self.number, self.known = {t: i for t, (i, _) in terms.items()}, {}
+
+    def count(self, data):
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        counts, others = {}, 0
+        for word in words_of(data):
+            held = self.known.get(word)
+            if held is None:
+                held = self.known[word] = tuple(self.number[t] for t in terms_of_word(word) if t in self.number)
+            for t in held:
+                counts[t] = counts.get(t, 0) + 1
+            others += not held
+        return (*sorted(counts.items()), (len(self.number), 1 << others.bit_length())) if counts else ()
+
+
+def vectors(rows, terms):
+    """(toxic, example, numbers, counts) of the example texts."""
+
+    def run(batches):
+        counter = Counter(terms)
+        for batch in batches:
+            found = [counter.count(data) for data in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("toxic"), batch.column("example"), *[pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]],
+                names=["toxic", "example", "numbers", "counts"],
+            )
+
+    return rows.select("toxic", "example", "text").mapInArrow(run, "toxic int, example bigint, numbers array<int>, counts array<int>")
 
 
 class Index:
@@ -127,20 +191,19 @@ class Index:
 
 class Voter:
     def __init__(self, terms, total, rows, scale, base):
-        """``rows`` of (toxic, example, terms, counts); ``scale`` are the rows of class 0 and 1 that one stands for."""
-        self.base, self.number = base, {t: i for t, (i, _) in terms.items()}
-        self.idf = np.array([np.log((1 + total) / (1 + n)) + 1 for _, n in terms.values()])
-        grouped, self.rest = {}, np.zeros(2)
-        for toxic, example, held, counts in rows:
-            key = tuple(sorted((self.number[t], n) for t, n in zip(held, counts)))
-            vote = np.array([toxic * scale[toxic], scale[toxic]])
-            if not key:
-                self.rest += vote
-            elif key in grouped:
+        """``rows`` of (toxic, example, numbers, counts); ``scale`` are the rows of class 0 and 1 that one stands for."""
+        self.base, self.counter = base, Counter(terms)
+        self.idf = np.array([*(np.log((1 + total) / (1 + n)) + 1 for _, n in terms.values()), 1.0])
+        plain, grouped = ((len(terms), 1),), {}
+        for toxic, example, numbers, counts in rows:
+            key, vote = tuple(zip(numbers, counts)) or plain, np.array([toxic * scale[toxic], scale[toxic]])
+            if key in grouped:
                 grouped[key][0] += vote
                 grouped[key][1] = min(grouped[key][1], example)
             else:
                 grouped[key] = [vote, example]
+        # Texts without a marking term are the example at the far end of the last dimension.
+        self.rest = grouped[plain][0] if plain in grouped else np.zeros(2)
         keys = sorted(grouped)
         self.index = Index([self.vector(k) for k in keys], [grouped[k][0] for k in keys], [grouped[k][1] for k in keys])
         self.known = {}
@@ -152,11 +215,7 @@ class Voter:
 
     def score(self, data):
         """(score, nearest example, its cosine) of a text given as bytes."""
-        counts = {}
-        for term in terms_of(data):
-            if (t := self.number.get(term)) is not None:
-                counts[t] = counts.get(t, 0) + 1
-        key = tuple(sorted(counts.items()))
+        key = self.counter.count(data)
         if key not in self.known:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
@@ -181,8 +240,7 @@ def learn(docs, labels):
     n0, n1 = sampled.get(0, 0), sampled.get(1, 0)
     base = sizes.get(1, 0) / max(1, sizes.get(0, 0) + sizes.get(1, 0))
     terms = vocabulary(rows, n0, n1) if n0 and n1 else {}
-    pairs = F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin(list(terms)) if terms else F.lit(False))
-    found = rows.select("toxic", "example", pairs.alias("v")).select("toxic", "example", "v.terms", "v.counts").collect()
+    found = vectors(rows, terms).collect()
     scale = [sizes.get(k, 0) / max(1, sampled.get(k, 0)) for k in (0, 1)]
     return Voter(terms, n0 + n1, [tuple(r) for r in found], scale, base)
 
