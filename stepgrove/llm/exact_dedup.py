@@ -56,7 +56,7 @@ def remember(spark, arrivals, state):
     stream.awaitTermination()
     kept = session.read.format("statestore").load(state).select("key.*", "value.*")
     best, seen = kept.columns[1:]
-    path = f"{state}-entries"
+    path = f"{state}-entries-{uuid.uuid4().hex}"
     kept.select("digest", F.col(best).alias("best"), F.col(seen).alias("group_size")).write.parquet(path)
     return spark.read.parquet(path)
 
@@ -89,8 +89,10 @@ def exact_groups(docs, id="doc_id", text="text", digest=sha256, place=None):
     texts = materialize(rows.select("place", bare.alias("bare")).join(shared.hint("shuffle_hash"), "place"))
     staying = texts.filter("place = best.place").select("digest", F.col("bare").alias("staying"))
     hits = texts.filter("place <> best.place").join(staying, "digest")
-    apart = materialize(hits.filter(F.col("bare") != F.col("staying")).select("digest").distinct())
+    # Stored before they are made distinct: so the join may split a hot digest.
+    apart = materialize(hits.filter(F.col("bare") != F.col("staying")).select("digest"))
     if not apart.isEmpty():
+        apart = apart.distinct()
         mixed = texts.join(apart, "digest")
         by_bytes = mixed.groupBy("digest", "bare").agg(
             F.max(F.struct("n_points", "turned_id", "place")).alias("best"), F.count(F.lit(1)).alias("group_size")
