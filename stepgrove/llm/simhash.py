@@ -34,8 +34,8 @@ SAMPLE = 16_384
 MAX_DEPTH = 12
 LEAF = 4_096
 #: Own fingerprints and visitors of one comparison task.
-BLOCK = 16_384
-VISITORS = 131_072
+BLOCK = 4_096
+VISITORS = 16_384
 
 MAX_SHINGLES = 65_536
 
