@@ -6,6 +6,9 @@ bucket of its length, so no sequence crosses documents and none needs padding: a
 No row has to meet another one, so there is no shuffle and no hot key.
 """
 
+import re
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,61 +20,99 @@ from .catalog import query, table
 LONGEST = 2048
 #: The id that ends every document.
 END = 1
-#: Words whose ids a task remembers, and bytes of text it works on at a time.
-WORDS_KEPT = 300_000
-BLOCK_BYTES = 1 << 20
-OUT_BYTES = 16 << 20
+#: Words whose ids a task remembers (twice as many for a while), and bytes of ids it passes on at a time.
+WORDS_KEPT = 400_000
+OUT_BYTES = 8 << 20
 
 SEQUENCES_PER_TASK = 1 << 38
 
 
-class WordTokens:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes, by remembering the ids of words.
+def _packed(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _byte_letters():
+    """The character that stands for each byte in byte-level vocabularies: itself if it can be seen, else from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return dict(zip([*seen, *(b for b in range(256) if b not in seen)], map(chr, [*seen, *range(256, 512)])))
+
+
+_BYTE_LETTERS = _byte_letters()
+#: A word of letters between marks; an apostrophe, digits and special tokens make words that are encoded as they are.
+_SIMPLE = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+_ENDS = frozenset(b".,;:!?")
+_PROBE = "It's 12.5% Ünder-way, (naïve) <|endoftext|> EL NIÑO:\n\t\u4e2d\u6587 e\u0301x! don't..."
+
+
+class WordTokens(dict):
+    """The ids of words (bytes to little-endian unsigned 32-bit bytes), learned on first use.
 
-    The tokenizer must part texts at ASCII white space and give the white space no ids. Words unseen so far are
-    encoded together, one per line, and the tokens go back to the words by their offsets; words outside plain Latin
-    letters are encoded one by one.
+    This holds for tokenizers that part texts at white space, which gets no ids, and letters from marks. A word of
+    Latin letters between marks is put together from its parts, whose ids are remembered too; all others are encoded
+    whole. A tokenizer that encodes a probe otherwise gets whole texts.
     """
 
     def __init__(self, path):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known = {}
-
-    @staticmethod
-    def _plain(word):
-        return all(c < "ɐ" and c != "İ" for c in word) and (word.isascii() or word.isalpha())
-
-    def _learn(self, missing):
-        lines, odd = [], []
-        for word in missing:
-            text = word.decode("utf-8", "replace")
-            (lines if self._plain(text) else odd).append((word, text))
-        if lines:
-            found = self.tokenizer.encode("\n".join(t for _, t in lines), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            starts = np.cumsum([0] + [len(t) + 1 for _, t in lines])
-            at = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts)
-            for (word, _), i, j in zip(lines, at[:-1].tolist(), at[1:].tolist()):
-                self.known[word] = ids[i:j].tobytes()
-        if odd:
-            for (word, _), found in zip(odd, self.tokenizer.encode_batch([t for _, t in odd], add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts):
-        """The ids of each of some texts given as UTF-8 bytes."""
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        split = [t.split() for t in texts]
-        missing = list(set().union(*split).difference(self.known))
-        for at in range(0, len(missing), 4096):
-            self._learn(missing[at : at + 4096])
-        out = [b"".join([self.known[w] for w in words]) for words in split]
-        for word in missing:
-            if len(word) > 200:
-                del self.known[word]
-        return out
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), True
+        self.parts, self.older, self.older_parts = {}, {}, {}
+        words = b"".join(map(self.__getitem__, _PROBE.encode().split()))
+        self.by_words = words == self._whole(_PROBE)
+
+    def _whole(self, text):
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _part(self, text):
+        """The ids of a lower-case run of letters, or of a run of marks."""
+        found = self.parts.get(text)
+        if found is None:
+            found = self.older_parts.get(text)
+            if found is None:
+                if text[0].isalpha():
+                    seen = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                    found = _packed([t.id for t in self.tokenizer.model.tokenize(seen)])
+                else:
+                    found = self._whole(text)
+            self.parts[text] = found
+        return found
+
+    def _split(self, word):
+        """The ids of a word by its parts; None if it isn't letters between marks."""
+        if word.isalpha():  # ASCII letters only, as bytes
+            return self._part(word.decode().lower())
+        head = word[:-1]
+        if head.isalpha() and word[-1] in _ENDS:
+            return self._part(head.decode().lower()) + self._part(chr(word[-1]))
+        simple = _SIMPLE.fullmatch(word)
+        if not simple or b"<|" in word:
+            return None
+        before, core, after = simple.groups()
+        core = core.decode("utf-8", "replace").lower()
+        if not core.isascii() and (not core.isalpha() or max(core) >= "\u0250" or "\u0307" in core):
+            return None
+        ids = self._part(core)
+        ids = self._part(before.decode()) + ids if before else ids
+        return ids + self._part(after.decode()) if after else ids
+
+    def __missing__(self, word):
+        ids, known = self.older.get(word), len(self.parts)
+        if ids is None:
+            ids = self._split(word)
+            if ids is None:
+                ids = self._whole(word.decode("utf-8", "replace"))
+        if known == len(self.parts) and len(word) <= 100:  # new letters are remembered as a part, the word when it comes again
+            self[word] = ids
+        return ids
+
+    def encode(self, text):
+        """The ids of a text given as UTF-8 bytes."""
+        if not self.by_words:
+            return self._whole(text.decode("utf-8", "replace"))
+        if len(self) > WORDS_KEPT or len(self.parts) > WORDS_KEPT:  # what isn't used again is forgotten at the next turn
+            self.older, self.older_parts, self.parts = dict(self), self.parts, {}
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def decompose(n, longest=LONGEST):
@@ -93,15 +134,10 @@ def pack(docs, tokenizer, id="doc_id", text="text", longest=LONGEST, end=END):
         encoder, number = WordTokens(tokenizer), TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column(0), [t or b"" for t in batch.column(1).to_pylist()]
-            rows, at, size = [], 0, 0
-            while at < len(texts):
-                to, much = at, 0
-                while to < len(texts) and (to == at or much + len(texts[to]) <= BLOCK_BYTES):
-                    much += len(texts[to])
-                    to += 1
-                for i, ids in enumerate(encoder.encode(texts[at:to]), at):
-                    ids += last
+            keys, rows, size = batch.column(0), [], 0
+            for at in range(0, batch.num_rows, 64):
+                for i, data in enumerate(batch.column(1).slice(at, 64).to_pylist(), at):
+                    ids = encoder.encode(data or b"") + last
                     start, total = 0, len(ids) // 4
                     for length in decompose(total, longest):
                         rows.append((i, start, length, total, number, 0, length.bit_length() - 1, ids[4 * start : 4 * (start + length)]))
@@ -110,7 +146,6 @@ def pack(docs, tokenizer, id="doc_id", text="text", longest=LONGEST, end=END):
                     if size > OUT_BYTES:
                         yield _batch(keys, rows)
                         rows, size = [], 0
-                at = to
             if rows:
                 yield _batch(keys, rows)
 
