@@ -51,19 +51,26 @@ def judged_counts(steps, annotations, by, state="state", carry=()):
     join sees each combination once however hot its state is."""
     grouped = steps.groupBy(state, "action", *by).agg(F.count(F.lit(1)).alias("_n"))
     hit = F.array_contains("optimal", F.col("action"))
-    joined = grouped.join(annotations.select(state, "optimal", *carry), state)
-    return joined.withColumn("_hit", F.when(hit, F.col("_n")).otherwise(F.lit(0)))
+    joined = grouped.join(annotations.select(state, "optimal", F.lit(True).alias("_known"), *carry), state, "left")
+    return joined.withColumns({
+        "_hit": F.when(hit, F.col("_n")).otherwise(F.lit(0)),
+        "_judged": F.when(F.col("_known"), F.col("_n")).otherwise(F.lit(0)),
+    })
 
 
 def rates():
     return [
-        F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("positions"),
+        F.coalesce(F.sum("_judged"), F.lit(0)).cast("bigint").alias("positions"),
         F.coalesce(F.sum("_hit"), F.lit(0)).cast("bigint").alias("agreeing"),
+        F.coalesce(F.sum(F.col("_n") - F.col("_judged")), F.lit(0)).cast("bigint").alias("uncovered"),
     ]
 
 
 def agreement(steps, annotations, by=(), state="state", carry=()):
-    """Positions, agreeing positions and rate, per ``by`` (step columns) or ``carry`` (label columns)."""
+    """Judged, agreeing and uncovered positions and the rate, per ``by`` (step columns) or ``carry`` (label columns).
+
+    Steps whose state has no label are counted as uncovered; their label columns are null.
+    """
     judged = judged_counts(steps, annotations, list(by), state, list(carry))
     return judged.groupBy(*by, *carry).agg(*rates()).withColumn("rate", ratio("agreeing", "positions"))
 
@@ -80,6 +87,6 @@ def agreement_report(steps, annotations, dimensions=("chosen_by", "ply"), state=
         dimension = F.when(F.col(f"_g_{d}") == 0, F.lit(d)).otherwise(dimension)
         key = F.when(F.col(f"_g_{d}") == 0, F.col(d).cast("string")).otherwise(key)
     return grouped.select(
-        dimension.alias("dimension"), key.alias("key"), "positions", "agreeing",
+        dimension.alias("dimension"), key.alias("key"), "positions", "agreeing", "uncovered",
         ratio("agreeing", "positions").alias("rate"),
     )

@@ -42,9 +42,9 @@ def append_once(existing, new, order):
     columns = F.struct(*[F.col(f"`{c}`") for c in new.columns])
     once = new.groupBy("entry_id").agg(F.min_by(columns, F.struct(*order)).alias("r")).select("r.*")
     fresh = once.join(existing.select("entry_id"), "entry_id", "left_anti")
-    start = existing.agg(F.coalesce(F.max("sequence") + 1, F.lit(0))).collect()[0][0]
+    start = existing.agg(F.coalesce(F.max("sequence") + 1, F.lit(0))).scalar()
     numbered = ordinal(fresh, [], order, "sequence")
-    return numbered.withColumn("sequence", F.col("sequence") + F.lit(start))
+    return numbered.withColumn("sequence", F.col("sequence") + start)
 
 
 def index_mismatches(index, entries):
@@ -144,8 +144,7 @@ def novelty(entries, first_new=0, block_rows=BLOCK_ROWS):
     Entries are cut into blocks of ``block_rows`` sequence numbers. Each pair of a new block and an
     earlier block is one bounded group that returns one row per new entry, never a row per pair.
     """
-    last = entries.agg(F.max("sequence")).collect()[0][0]
-    last_block = 0 if last is None else last // block_rows
+    last_block = entries.agg(F.floor(F.max("sequence") / block_rows).cast("bigint")).scalar()
     block = F.floor(F.col("sequence") / block_rows).cast("bigint")
     whole = entries.select(
         "sequence", "entry_id", "kind", "depth", "epsilon", "tie_break", "rules", "sample_id", "signature"
@@ -153,7 +152,7 @@ def novelty(entries, first_new=0, block_rows=BLOCK_ROWS):
     new = whole.filter(F.col("sequence") >= first_new)
     old_blocks = F.sequence(F.lit(0).cast("bigint"), F.col("_b"))
     new_blocks = F.sequence(
-        F.greatest(F.col("_b"), F.lit(first_new // block_rows).cast("bigint")), F.lit(last_block).cast("bigint")
+        F.greatest(F.col("_b"), F.lit(first_new // block_rows).cast("bigint")), last_block
     )
     tested = new.select("*", F.lit(True).alias("_new"), F.col("_b").alias("_i"), F.explode(old_blocks).alias("_j"))
     prior = whole.select("*", F.lit(False).alias("_new"), F.explode(new_blocks).alias("_i"), F.col("_b").alias("_j"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import opening_length, step_source
 from .ordering import ordinal, running
-from .skew import skew_join
 
 
 def number_steps(rows, seq, order, action, keep=(), **options):
@@ -50,9 +49,9 @@ def sequence_summary(steps, order=("ply",), **extra):
     )
 
 
-def attach_sequences(steps, sequences, columns, **options):
+def attach_sequences(steps, sequences, columns):
     """Repeat sequence-level columns on every step."""
-    return skew_join(steps, sequences.select("seq_id", *columns), ["seq_id"], ["ply"], **options)
+    return steps.join(sequences.select("seq_id", *columns), "seq_id")
 
 
 def with_source(steps, fixed, random, actor_name):

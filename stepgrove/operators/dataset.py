@@ -26,7 +26,7 @@ def canonical_mismatches(annotations, recomputed, stored="canonical_state"):
 
 def require_canonical(annotations, recomputed, stored="canonical_state"):
     if not canonical_mismatches(annotations, recomputed, stored).isEmpty():
-        raise ValueError("annotation canonical_state does not match the canonicaliser")
+        raise ValueError("a stored canonical form differs from the one that is computed")
 
 
 def qualify(classes, tiers, legal=None, optimal=None):
@@ -91,4 +91,4 @@ def manifest(annotations, dataset):
 
 def require_rows(dataset):
     if dataset.isEmpty():
-        raise ValueError("dataset requires at least one non-terminal annotation record")
+        raise ValueError("there is no open state to build a dataset from")

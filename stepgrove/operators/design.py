@@ -4,29 +4,27 @@ from math import prod
 
 from pyspark.sql import functions as F
 
-MAX_CELLS = 10_000_000
-
 
 def design_cells(spark, factors):
     """Every combination of the factor levels with a dense ``index``; the last factor varies fastest.
 
-    ``factors`` maps a name to its list of levels. Levels are exploded one factor after the other, so the
-    index is arithmetic on their positions.
+    ``factors`` maps a name to its list of levels. The cells are the numbers of a range, dealt over the tasks; the
+    digits of a number, with the numbers of levels as bases, are the positions of its levels.
     """
     for name, levels in factors.items():
         if not levels:
             raise ValueError(f"factor `{name}` has no levels")
         if len(set(map(str, levels))) != len(levels):
             raise ValueError(f"factor `{name}` lists a level more than once")
-    if prod(len(levels) for levels in factors.values()) > MAX_CELLS:
-        raise ValueError("too many design cells")
-    cells = spark.range(1).select(F.lit(0).cast("bigint").alias("index"))
-    for name, levels in factors.items():
+    cells = spark.range(prod(len(levels) for levels in factors.values())).withColumnRenamed("id", "index")
+    width = 1
+    columns = []
+    for name, levels in reversed(factors.items()):
         array = F.array(*[F.array(*[F.lit(x) for x in v]) if isinstance(v, (list, tuple)) else F.lit(v) for v in levels])
-        cells = cells.select("*", F.posexplode(array).alias("_p", name)).withColumn(
-            "index", F.col("index") * len(levels) + F.col("_p")
-        ).drop("_p")
-    return cells
+        digit = F.floor(F.col("index") / width) % len(levels)
+        columns.insert(0, F.element_at(array, (digit + 1).cast("int")).alias(name))
+        width *= len(levels)
+    return cells.select("index", *columns)
 
 
 def all_pairings(names, slots):

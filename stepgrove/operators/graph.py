@@ -2,10 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..session import store
-from .skew import skew_join
-
-BROADCAST_ROWS = 100_000
+from ..session import drop_table, materialize, store
 
 
 def reach(edges, start, limit=None):
@@ -15,6 +12,7 @@ def reach(edges, start, limit=None):
     is an error.
     """
     spark = edges.sparkSession
+    edges = materialize(edges.select("src", "dst").distinct())
     shape = start.select("state", F.lit(0).alias("level")).schema
     read = lambda *paths: spark.read.schema(shape).parquet(*paths)
     path, n = store(start.select("state").distinct().withColumn("level", F.lit(0)))
@@ -23,10 +21,7 @@ def reach(edges, start, limit=None):
         if limit is not None and found > limit:
             raise ValueError(f"more than {limit} states are reachable")
         frontier = read(paths[-1]).select(F.col("state").alias("src"))
-        if n <= BROADCAST_ROWS:
-            step = edges.join(F.broadcast(frontier), "src", "left_semi")
-        else:
-            step = skew_join(edges, frontier, ["src"], ["dst"])
+        step = edges.join(frontier, "src", "left_semi")
         fresh = step.select(F.col("dst").alias("state")).distinct()
         fresh = fresh.join(read(*paths).select("state"), "state", "left_anti")
         path, n = store(fresh.withColumn("level", F.lit(len(paths))))
@@ -35,32 +30,46 @@ def reach(edges, start, limit=None):
     return read(*paths)
 
 
-def backward_induction(edges, terminals, levels):
+def backward_induction(edges, terminals):
     """Values of every state from the player to move: a state is worth its best negated child.
 
-    ``edges``: src, action, dst. ``terminals``: state, value. ``levels``: state, level, where every edge
-    leads to a higher level. Returns (values: state, value) and (optimal edges: state, action, dst);
-    all edges that reach the best value are kept.
+    ``edges``: src, action, dst, any graph without cycles. ``terminals``: state, value. A state gets its value in the
+    round after its last child got one: rounds count solved children against the out-degree, so edges may skip levels.
+    Returns (values: state, value) and (optimal edges: state, action, dst); all edges that reach the best value are
+    kept. States without a value at the end (a cycle, or a leaf that isn't a terminal) are an error. A terminal with
+    edges keeps its given value.
     """
     spark = edges.sparkSession
-    placed = skew_join(edges, levels.select(F.col("state").alias("src"), "level"), ["src"], ["dst"])
-    path, n = store(placed.select("src", "action", "dst", "level"), ["level"])
-    placed = spark.read.schema(placed.select("src", "action", "dst", "level").schema).parquet(path)
     ends = terminals.select("state", F.col("value").cast("int").alias("value"))
-    read = lambda *paths: spark.read.schema(ends.schema).parquet(*paths)
-    solved = [store(ends)[0]]
-    for level in sorted((r["level"] for r in placed.select("level").distinct().collect()), reverse=True):
-        known = read(*solved).select(F.col("state").alias("dst"), (-F.col("value")).alias("worth"))
-        here = skew_join(placed.filter(F.col("level") == level), known, ["dst"], ["src", "action"], max_rows=n)
-        best = here.groupBy(F.col("src").alias("state")).agg(F.max("worth").alias("value"))
-        solved.append(store(best)[0])
-    values = read(*solved)
-    parent = values.select(F.col("state").alias("src"), "value")
+    shape = ends.schema
+    path, n = store(ends)
+    solved = [path]
+    known = spark.read.schema(shape).parquet(path)
+    moves = edges.select("src", "action", "dst").join(known.select(F.col("state").alias("src")), "src", "left_anti")
+    moves = materialize(moves.distinct())
+    open_path, waiting = store(
+        moves.groupBy("src").agg(F.count(F.lit(1)).alias("left")).withColumn("best", F.lit(None).cast("int"))
+    )
+    while n and waiting:
+        last = spark.read.schema(shape).parquet(solved[-1]).select(F.col("state").alias("dst"), (-F.col("value")).alias("worth"))
+        met = moves.join(last, "dst").groupBy("src").agg(F.count(F.lit(1)).alias("met"), F.max("worth").alias("found"))
+        still = spark.read.parquet(open_path).filter("left > 0")
+        after, _ = store(still.join(met, "src", "left").select(
+            "src", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"), F.greatest("best", "found").alias("best")
+        ))
+        drop_table(spark, open_path)
+        open_path = after
+        done = spark.read.parquet(open_path).filter("left = 0")
+        path, n = store(done.select(F.col("src").alias("state"), F.col("best").alias("value")))
+        solved.append(path)
+        waiting -= n
+    if waiting:
+        raise ValueError(f"{waiting} states have no value: the graph has a cycle, or a leaf is not a terminal")
+    values = spark.read.schema(shape).parquet(*solved)
     child = values.select(F.col("state").alias("dst"), (-F.col("value")).alias("worth"))
-    scored = skew_join(placed.drop("level"), child, ["dst"], ["src", "action"], max_rows=n)
-    scored = skew_join(scored, parent, ["src"], ["dst", "action"], max_rows=n)
-    optimal = scored.filter(F.col("worth") == F.col("value"))
-    return values, optimal.select(F.col("src").alias("state"), "action", "dst")
+    best = values.select(F.col("state").alias("src"), "value")
+    scored = moves.join(child, "dst").join(best, "src").filter("worth = value")
+    return values, scored.select(F.col("src").alias("state"), "action", "dst")
 
 
 def optimal_sets(optimal):

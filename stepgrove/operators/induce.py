@@ -91,24 +91,23 @@ def equal_candidates(rows, candidate, row_key, bit):
 
 
 def smallest_values(rows, k):
-    """The k smallest distinct values per position of ``values``: k passes of a plain minimum."""
-    flat = rows.select(F.posexplode("values").alias("column", "value"))
-    found = {}
-    for _ in range(k):
-        last = {c: v[-1] for c, v in found.items()}
-        nxt = F.col("value")
-        if last:
-            seen = F.array(*[F.lit(last.get(c)) for c in range(max(last) + 1)])
-            nxt = F.when(F.col("value") > F.element_at(seen, F.col("column") + 1), F.col("value"))
-        step = flat.groupBy("column").agg(F.min(nxt).alias("value")).filter(F.col("value").isNotNull()).collect()
-        if not step:
-            break
-        for r in step:
-            found.setdefault(r["column"], []).append(r["value"])
-        if len(step) < len(found):
-            for c in set(found) - {r["column"] for r in step}:
-                found[c].append(math.inf)
-    return {c: [x for x in v if x != math.inf] for c, v in found.items()}
+    """The k smallest distinct values per position of ``values``, in one pass: the tasks keep k per position each."""
+
+    def least(batches):
+        found = {}
+        for batch in batches:
+            if len(batch):
+                for j, column in enumerate(np.stack(batch["values"].to_numpy()).T):
+                    found[j] = np.unique(np.concatenate((found.get(j, column[:0]), column)))[:k]
+        for j, values in found.items():
+            yield pd.DataFrame({"column": j, "value": values})
+
+    few = rows.select("values").mapInPandas(least, "column int, value double").distinct()
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    out = {}
+    for r in few.withColumn("rank", rank).filter(F.col("rank") <= k).orderBy("column", "value").collect():
+        out.setdefault(r["column"], []).append(r["value"])
+    return out
 
 
 # --- counting pass ---------------------------------------------------------------------------------
@@ -135,9 +134,10 @@ def _counter(pairs):
             parts = np.stack(batch["parts"].to_numpy()).astype(np.float64)
             groups = [(("f", k, 0), parts[:, k]) for k in range(parts.shape[1])]
             for kind in ("target", "label"):
-                cell = batch["held"].to_numpy() * 1_000_000 + batch[kind].to_numpy()
-                for c in np.unique(cell):
-                    groups.append(((kind[0], int(c % 1_000_000), int(c // 1_000_000)), (cell == c).astype(np.float64)))
+                held, found = batch["held"].to_numpy(), batch[kind].to_numpy()
+                for h in np.unique(held):
+                    for c in np.unique(found[held == h]):
+                        groups.append(((kind[0], int(c), int(h)), ((found == c) & (held == h)).astype(np.float64)))
             for key, weight in groups:
                 weighted = bits * weight[:, None]
                 got = weighted.T @ bits if pairs else weighted.sum(axis=0)

@@ -1,108 +1,91 @@
 """Running sums and ordinals per group that stay parallel when one group is huge.
 
-A plain window puts a whole group in one task. Groups above ``hot_rows`` are therefore cut into ranges
-of their order column: the window runs per range, and the totals of the earlier ranges are added from a
-broadcast table. The limit is raised to N / MAX_HOT_GROUPS, so at most MAX_HOT_GROUPS groups can be hot
-and both broadcast tables have a proven size bound.
+A plain window puts a whole group in one task. Here every group is cut at sampled rows of its own order: a row is drawn
+when a hash of its order columns says so, about one in ``sample``. Groups with drawn rows are cut there into ranges, the
+window runs per (group, range), and the totals of the earlier ranges are added. The cuts follow the order itself, so
+nulls, text, several columns and uneven clocks need no special care, and drawing by hash finds the same cuts whenever a
+task runs again. It is one lazy plan for every size: nothing is counted or collected while it is built.
 """
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-HOT_ROWS = 2_000_000
-MAX_HOT_GROUPS = 10_000
-
-RANGE = _CHUNK = "_chunk"
-_N = "_group_rows"
-
-
-def _axis(df, name):
-    """The order column as a double that never decreases when the column increases."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(name)).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    return None
-
-
-def _hot_groups(df, keys, order, limit):
-    """Groups above ``limit`` (at most MAX_HOT_GROUPS rows, so collecting them is safe) and the range cut."""
-    axes = []
-    for name in order:
-        axis = _axis(df, name)
-        if axis is None:
-            break
-        axes.append(axis)
-    stats = [F.count(F.lit(1)).alias(_N)]
-    for i, axis in enumerate(axes):
-        stats += [F.min(axis).alias(f"_lo{i}"), F.max(axis).alias(f"_hi{i}")]
-    hot = df.groupBy(*keys).agg(*stats).filter(F.col(_N) > limit)
-    rows = hot.collect()
-    if not rows:
-        return None, None, None
-    if not axes:
-        raise TypeError(f"order column {order[0]} must be numeric or a time to cut a hot group")
-
-    parts = F.ceil(F.col(_N) / F.lit(limit)) * 2
-    chunk = F.lit(0).cast("bigint")
-    for i, axis in reversed(list(enumerate(axes))):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        cut = F.least(F.floor((axis - lo) / F.when(hi > lo, hi - lo) * parts), parts - 1)
-        chunk = F.when(hi > lo, cut.cast("bigint")).otherwise(chunk)
-    chunk = F.when(F.col(_N).isNull(), F.lit(0).cast("bigint")).otherwise(chunk)
-    return rows, F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema)), chunk
-
-
-def running(df, keys, order, measures, *, exclusive=False, total=None, hot_rows=HOT_ROWS, max_rows=None, keep_range=False):
+
+#: Rows per drawn row. A group of n rows draws about n / SAMPLE of them; at most MAX_CUTS, evenly spread, become cuts.
+SAMPLE = 65_536
+MAX_CUTS = 1_024
+
+RANGE = "_range"
+_FAN = 32
+
+
+def null_safe_join(rows, groups, keys, how="left"):
+    """Join on ``keys``, null equal to null, keeping the keys of ``rows``."""
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    right = groups.withColumnsRenamed(named)
+    equal = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in named.items()]
+    return rows.join(right, reduce(lambda a, b: a & b, equal), how).drop(*named.values())
+
+
+def _cuts(df, keys, order, sample):
+    """Per group with drawn rows: the sorted cuts, and every 32nd of them to search in two steps."""
+    drawn = F.pmod(F.xxhash64(*order), F.lit(sample)) == 0
+    found = F.sort_array(F.collect_set(F.when(drawn, F.struct(*order))))
+    some = df.groupBy(*keys).agg(found.alias("_found")).filter(F.size("_found") > 0)
+    step = F.ceil(F.size("_found") / MAX_CUTS)
+    thinned = some.withColumn("_cuts", F.filter("_found", lambda x, i: i % step == 0)).drop("_found")
+    return thinned.withColumn("_coarse", F.filter("_cuts", lambda x, i: i % _FAN == 0))
+
+
+def _ranged(df, keys, order, sample):
+    """``df`` with RANGE, the number of cuts of the group up to the row, and ``_cuts``, null where there are none."""
+    hot = _cuts(df, keys, order, sample)
+    if keys:
+        placed = null_safe_join(df, hot, keys)
+    else:
+        only = hot.select(F.struct("_cuts", "_coarse")).scalar()
+        placed = df.withColumn("_only", only).select("*", "_only.*").drop("_only")
+    at = F.struct(*order)
+    upto = lambda cuts: F.size(F.filter(cuts, lambda x: x <= at))
+    placed = placed.withColumn("_block", F.when(F.col("_cuts").isNull(), 0).otherwise(upto("_coarse")))
+    first = (F.greatest(F.col("_block"), F.lit(1)) - 1) * _FAN
+    inside = first + upto(F.slice("_cuts", first + 1, F.lit(_FAN)))
+    return placed.withColumn(RANGE, F.when(F.col("_block") == 0, 0).otherwise(inside)).drop("_block", "_coarse")
+
+
+def running(df, keys, order, measures, *, exclusive=False, total=None, keep_range=False, sample=SAMPLE):
     """Add one running sum per entry of ``measures`` (name -> Column), rows taken in ``order``.
 
-    ``order`` names ascending columns that together give a total order inside a group. ``exclusive``
-    leaves the row itself out. ``total`` names a column for the number of rows of the group.
-    ``max_rows`` is a known bound on the row count that saves counting. ``keep_range`` leaves the range
-    number of cut groups in the column RANGE.
+    ``order`` names ascending columns, nulls first, that together give a total order inside a group; null keys are a
+    group. ``exclusive`` leaves the row itself out. ``total`` names a column for the number of rows of the group.
+    ``keep_range`` leaves the range of each row in the column RANGE. ``sample`` changes the plan's tasks, never its
+    result.
     """
     keys, order, names = list(keys), list(order), list(measures)
     staged = df.select("*", *[measures[m].alias(f"_m_{m}") for m in names])
+    placed = _ranged(staged, keys, order, sample)
 
-    n = df.count() if max_rows is None or max_rows > hot_rows else max_rows
-    hot = None
-    if n > hot_rows:
-        rows, hot, chunk = _hot_groups(df, keys, order, max(hot_rows, n // MAX_HOT_GROUPS))
-    if hot is not None:
-        if keys:
-            staged = staged.join(hot, keys, "left")
-        else:
-            staged = staged.withColumns({c: F.lit(v) for c, v in rows[0].asDict().items()})
-        staged = staged.withColumn(_CHUNK, chunk)
-
-    by = keys if hot is None else [*keys, _CHUNK]
+    by = [*keys, RANGE]
     last = -1 if exclusive else 0
     frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    out = staged.withColumns({m: F.coalesce(F.sum(f"_m_{m}").over(frame), F.lit(0)) for m in names})
+    out = placed.drop("_cuts").withColumns({m: F.coalesce(F.sum(f"_m_{m}").over(frame), F.lit(0)) for m in names})
     if total:
         out = out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
-    if hot is not None:
-        before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (
-            staged.filter(F.col(_N).isNotNull())
-            .groupBy(*by)
-            .agg(*[F.sum(f"_m_{m}").alias(f"_t_{m}") for m in names])
-            .select(*by, *[F.sum(f"_t_{m}").over(before).alias(f"_o_{m}") for m in names])
-        )
-        out = out.join(F.broadcast(offsets), by, "left")
-        out = out.withColumns({m: F.col(m) + F.coalesce(F.col(f"_o_{m}"), F.lit(0)) for m in names})
-        if total:
-            out = out.withColumn(total, F.coalesce(F.col(_N), F.col(total)))
-    extra = [total] if total else []
-    if keep_range and hot is not None:
-        extra.append(_CHUNK)
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.filter(F.col("_cuts").isNotNull())
+        .groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_m_{m}").alias(f"_t_{m}") for m in names])
+        .select(*by, F.sum("_n").over(group).alias("_o_n"), *[F.sum(f"_t_{m}").over(before).alias(f"_o_{m}") for m in names])
+    )
+    out = null_safe_join(out, offsets, by)
+    out = out.withColumns({m: F.col(m) + F.coalesce(F.col(f"_o_{m}"), F.lit(0)) for m in names})
+    if total:
+        out = out.withColumn(total, F.coalesce(F.col("_o_n"), F.col(total)))
+    extra = ([total] if total else []) + ([RANGE] if keep_range else [])
     return out.select(*[f"`{c}`" for c in df.columns if c not in names], *names, *extra)
 
 

@@ -75,6 +75,14 @@ class DecisionList:
         return sorted({dump(r.to_dict()) for r in self.rules} | {"fallback:" + dump(self.fallback.to_dict())})
 
 
+    def definition_texts(self):
+        """Canonical JSON of every feature that the list references, directly or through another definition."""
+        dump = lambda f: json.dumps(
+            {"name": f.name, "tier": f.tier, "kind": f.kind, "expr": f.expr.to_dict() if f.expr else None}, sort_keys=True, separators=(",", ":")
+        )
+        return sorted(dump(f) for f in self.definitions.closure(self.references()))
+
+
 def rule_from_dict(d):
     return Rule(d["name"], d["priority"], E.from_dict(d["condition"]), selector_from_dict(d["action"]))
 
@@ -187,9 +195,9 @@ class MineParams:
         if self.engine not in ("cart", "mllib"):
             raise ValueError(f"engine `{self.engine}` is not one of: cart, mllib")
         if not self.depths:
-            raise ValueError("depths must list at least one depth")
+            raise ValueError("no depth is given")
         if len(set(self.depths)) != len(self.depths):
-            raise ValueError("depths lists a depth more than once")
+            raise ValueError("a depth is given twice")
         if self.min_leaf < 1:
             raise ValueError("min_leaf must be >= 1")
         if not 0.0 <= self.holdout_fraction < 1.0:
@@ -208,15 +216,20 @@ class Mined:
     tree: trees.Tree
 
 
-def mine_one(dataset, vocabulary, depth, min_leaf=1, holdout=None, engine="cart", name=None):
-    """Fit one tree and turn it into a decision list. ``holdout`` is a boolean column of held-out rows."""
+def fit_tree(dataset, vocabulary, depth, min_leaf=1, holdout=None, engine="cart"):
+    """The tree of the rows that aren't held out, over the index of their label."""
     classes = vocabulary.set_features()
-    held = F.lit(False) if holdout is None else holdout
-    train = dataset.filter(~held).select("values", label_index(classes).alias("label"))
+    train = dataset.filter(~(F.lit(False) if holdout is None else holdout)).select("values", label_index(classes).alias("label"))
     if engine == "mllib":
-        fitted = trees.fit_mllib(train, len(classes) + 1, len(vocabulary.features), depth, min_leaf)
-    else:
-        fitted = trees.fit(train, len(classes) + 1, depth, min_leaf)
+        return trees.fit_mllib(train, len(classes) + 1, len(vocabulary.features), depth, min_leaf)
+    return trees.fit(train, len(classes) + 1, depth, min_leaf)
+
+
+def mine_one(dataset, vocabulary, depth, min_leaf=1, holdout=None, engine="cart", name=None, fitted=None):
+    """Fit one tree, unless it is given, and turn it into a decision list. ``holdout`` is a boolean column."""
+    classes = vocabulary.set_features()
+    held = F.lit(False) if holdout is None else holdout
+    fitted = fitted or fit_tree(dataset, vocabulary, depth, min_leaf, holdout, engine)
     routed = dataset.withColumn("leaf", fitted.route())
     table = leaf_evidence(routed, classes, held)
     rows = {r["leaf"]: r for r in table.collect()}
@@ -275,7 +288,10 @@ def mine(dataset, vocabulary, params=MineParams(), key="canonical_state", stored
     holdout = None
     if params.holdout_fraction:
         holdout = holdout_condition(dataset, F.col(key), params.seed, params.holdout_fraction)
-    return [mine_one(dataset, vocabulary, d, params.min_leaf, holdout, params.engine) for d in params.depths]
+    deepest = 0 if 0 in params.depths else max(params.depths)
+    whole = fit_tree(dataset, vocabulary, deepest, params.min_leaf, holdout) if params.engine == "cart" else None
+    grown = lambda d: trees.cut(whole, d) if whole else None
+    return [mine_one(dataset, vocabulary, d, params.min_leaf, holdout, params.engine, fitted=grown(d)) for d in params.depths]
 
 
 HEX_DIGITS = 3
@@ -316,8 +332,9 @@ def candidate_targets(selector, kinds, legal, scored=None):
         return legal
     if selector.select == "target-in":
         return sets.intersection(legal, selector.expr.column(kinds))
-    top = F.array_max(F.transform(scored, lambda s: s["score"]))
-    return F.transform(F.filter(scored, lambda s: s["score"] == top), lambda s: s["action"])
+    allowed = F.filter(scored, lambda s: F.array_contains(legal, s["action"]))
+    top = F.array_max(F.transform(allowed, lambda s: s["score"]))
+    return F.transform(F.filter(allowed, lambda s: s["score"] == top), lambda s: s["action"])
 
 
 def apply_rules(rows, decisions, legal="legal", scored=None):
@@ -347,14 +364,18 @@ def apply_rules(rows, decisions, legal="legal", scored=None):
 def scored_successors(edges, features, vocabulary, expr, state="state"):
     """Scores of every legal action: ``edges`` (state, action, next) joined to the features of ``next``.
 
-    The value is read in the successor, so from the next mover's view. One state's actions are few.
+    The value is read in the successor, so from the next mover's view. One state's actions are few. A successor without
+    features is an error when the scores are read: no legal action may be lost.
     """
     score = expr.column(vocabulary.kinds()).cast("double")
     valued = vocabulary.evaluate(features).select(F.col(state).alias("next"), score.alias("score"))
+    told = F.when(F.col("score").isNotNull(), F.col("score")).otherwise(
+        F.raise_error(F.concat(F.lit("no features for the successor "), F.col("next").cast("string"))).cast("double")
+    )
     return (
-        edges.join(valued, "next")
+        edges.join(valued, "next", "left")
         .groupBy(state)
-        .agg(F.array_sort(F.collect_list(F.struct("action", "score"))).alias("scored"))
+        .agg(F.array_sort(F.collect_list(F.struct("action", told.alias("score")))).alias("scored"))
     )
 
 

@@ -23,6 +23,14 @@ def outcome_tally(rows, keys=()):
     return rows.groupBy(*keys).agg(*tally_columns())
 
 
+def outcome_by_ply(sequences):
+    """Outcomes of the sequences that reach each ply. Sequences are tallied by length first, so no step is joined."""
+    names = ["decisive", "draws", "unfinished", "total"]
+    tallied = outcome_tally(sequences.filter(F.col("length") > 0), ["length"])
+    plies = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1)
+    return tallied.select(F.explode(plies).alias("ply"), *names).groupBy("ply").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def wins_by_winner(rows, keys=()):
     return rows.filter(F.col("result") == "win").groupBy(*keys, "winner").agg(F.count(F.lit(1)).alias("wins"))
 

@@ -13,9 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .ordering import HOT_ROWS, RANGE, running
-
-MAX_OPEN_NODES = 50_000
+from .ordering import RANGE, running
 
 
 @dataclass
@@ -60,6 +58,20 @@ class Tree:
 SMALL_TREE = 127
 
 
+def cut(tree, max_depth):
+    """The tree that :func:`fit` grows with a smaller ``max_depth``: the upper levels, split choices being the same."""
+    if max_depth == 0 or tree.depth() <= max_depth:
+        return tree
+    kept = [i for i, n in enumerate(tree.nodes) if len(n.path) <= max_depth]
+    at = {old: new for new, old in enumerate(kept)}
+    nodes = []
+    for i in kept:
+        n = tree.nodes[i]
+        inner = not n.is_leaf and len(n.path) < max_depth
+        nodes.append(Node(n.counts, n.depth, n.path, *((n.column, n.threshold, at[n.left], at[n.right]) if inner else ())))
+    return Tree(nodes)
+
+
 def route(nodes, values):
     """Node a row ends in: nested conditions for small trees, an array walk for large ones."""
     steps = max(len(n.path) for n in nodes)
@@ -102,7 +114,7 @@ def with_score(candidates, rows):
 
     The quotient is written as an integer part and base-10^s digits by long division. Two different
     fractions with denominators up to D differ by at least 1/D^2, so digits down to 1/D^2 order them
-    exactly and equal fractions get equal digits. Needs N below about 10^18.
+    exactly and equal fractions get equal digits. Sums up to N^3/4 must fit decimal(38,0): N below about 7 * 10^12.
     """
     kind, digits, largest = _arithmetic(rows)
     if digits < 1:
@@ -121,9 +133,9 @@ def split_table(counts, nodes, classes, rows, **options):
     kind = _arithmetic(rows)[0]
     totals = F.from_json(F.lit(json.dumps([n.counts for n in nodes])), "array<array<bigint>>")
     left = {f"_l{k}": F.col(f"_k{k}") for k in range(classes)}
-    summed = running(counts, ["node", "column"], ["value"], left, max_rows=rows, keep_range=True, **options)
+    summed = running(counts, ["node", "column"], ["value"], left, keep_range=True, **options)
     sides = summed.select(
-        "node", "column", "value", *[c for c in summed.columns if c == RANGE],
+        "node", "column", "value", RANGE,
         F.array(*left).alias("left_counts"),
         F.element_at(totals, F.col("node") + 1).alias("_total"),
     ).withColumn("_right", F.zip_with("_total", "left_counts", lambda t, l: t - l))
@@ -132,7 +144,7 @@ def split_table(counts, nodes, classes, rows, **options):
         counts, F.lit(0).cast(kind), lambda acc, c: (acc + c.cast(kind) * c.cast(kind)).cast(kind)
     )
     return sides.select(
-        "node", "column", "value", *[c for c in summed.columns if c == RANGE], "left_counts",
+        "node", "column", "value", RANGE, "left_counts",
         add("left_counts").alias("n_left"), add("_right").alias("n_right"),
         squares("left_counts").alias("a_left"), squares("_right").alias("a_right"),
     )
@@ -146,7 +158,7 @@ def best_splits(candidates, min_leaf, rows):
     """
     valid = candidates.filter((F.col("n_right") > 0) & (F.least("n_left", "n_right") >= min_leaf))
     rounded = F.col("a_left").cast("double") / F.col("n_left") + F.col("a_right").cast("double") / F.col("n_right")
-    peers = Window.partitionBy("node", "column", *[c for c in candidates.columns if c == RANGE])
+    peers = Window.partitionBy("node", "column", RANGE)
     near = valid.withColumn("_r", rounded).withColumn("_top", F.max("_r").over(peers))
     near = near.filter(F.col("_r") >= F.col("_top") * (1 - 1e-11)).drop("_r", "_top")
     scored, digits = with_score(near, rows)
@@ -176,11 +188,10 @@ def _improves(parent, split):
     return (al * nr + ar * nl) * n > a * nl * nr
 
 
-def fit(rows, classes, max_depth=0, min_leaf=1, weight=None, hot_rows=HOT_ROWS):
+def fit(rows, classes, max_depth=0, min_leaf=1, weight=None, **options):
     """Fit a tree on ``rows`` (values, label in 0..classes-1). ``max_depth`` 0 means unlimited.
 
-    The fitted tree lives on the driver, so a level with more than MAX_OPEN_NODES open nodes is an
-    error: set ``max_depth`` or ``min_leaf``.
+    The fitted tree lives on the driver, one entry per node: its size is set by ``max_depth`` and ``min_leaf``.
     """
     rows = rows.select("values", "label", (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("weight"))
     found = rows.groupBy("label").agg(F.sum("weight").alias("n")).collect()
@@ -197,14 +208,9 @@ def fit(rows, classes, max_depth=0, min_leaf=1, weight=None, hot_rows=HOT_ROWS):
         }
         if not open_nodes:
             return Tree(nodes)
-        if len(open_nodes) > MAX_OPEN_NODES:
-            raise ValueError(f"{len(open_nodes)} open nodes; set max_depth or min_leaf")
-        counted = value_counts(rows, nodes, open_nodes, classes)
-        kept = counted.persist() if total > hot_rows else counted
-        table = split_table(kept, nodes, classes, total, hot_rows=hot_rows)
-        found = best_splits(table, min_leaf, total).collect()
-        if total > hot_rows:
-            kept.unpersist()
+        kept = value_counts(rows, nodes, open_nodes, classes).persist()
+        found = best_splits(split_table(kept, nodes, classes, total, **options), min_leaf, total).collect()
+        kept.unpersist()
         open_nodes = set()
         for split in sorted(found, key=lambda r: r["node"]):
             parent = nodes[split["node"]]

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from .features import TIERS
-from .skew import skew_join
 
 
 def undefined(references, definitions):
@@ -39,4 +38,4 @@ def columns_by_tier(columns):
 
 def with_labels(concepts, labels):
     """Attach an optional human label by concept name."""
-    return skew_join(concepts, labels.select("name", "label"), ["name"], ["name"], "left")
+    return concepts.join(labels.select("name", "label"), "name", "left")

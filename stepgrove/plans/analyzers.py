@@ -150,15 +150,15 @@ def validate(names, registry=None):
     """Known, unrepeated, non-empty, and in the order their results are needed."""
     registry = registry or REGISTRY
     if not names:
-        raise ValueError("no analyzers requested")
+        raise ValueError("the list of analyzers is empty")
     for i, name in enumerate(names):
         if name not in registry:
-            raise ValueError(f"unknown analyzer `{name}`; one of: {', '.join(sorted(registry))}")
+            raise ValueError(f"no analyzer is called `{name}`; known are {', '.join(sorted(registry))}")
         if name in names[:i]:
             raise ValueError(f"analyzer `{name}` is listed more than once")
     at = [names.index(n) for n in ORDER if n in names]
     if at != sorted(at):
-        raise ValueError("required order is " + " < ".join(ORDER))
+        raise ValueError("analyzers go in this order: " + " < ".join(ORDER))
 
 
 def analyze(inputs, names=("summary",), options=None, registry=None):

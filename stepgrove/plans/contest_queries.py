@@ -1,5 +1,6 @@
 """Contests, designs, signatures, novelty, archive, graphs."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sets
@@ -8,8 +9,6 @@ from ..operators import archive as N
 from ..operators import contest as K
 from ..operators import design as D
 from ..operators import graph as G
-from ..operators.ordering import ordinal, running
-from ..operators.skew import skew_join
 from .catalog import joined, query, r9, table
 from .corpora import STEPS_SQL
 
@@ -27,7 +26,7 @@ def contests(spark, folder):
     )
     customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey"))
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    joined_rows = skew_join(orders, customer, ["c_custkey"], ["o_orderkey"]).join(nation, "n_nationkey")
+    joined_rows = orders.join(customer, "c_custkey").join(nation, "n_nationkey")
     seat = F.col("o_orderkey") % 2
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     rows = joined_rows.select(
@@ -102,11 +101,11 @@ def design_cells(spark, folder):
     )
 
 
-@query("missing_refs", """SELECT o_custkey, count(*) AS rows FROM orders
-WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0) GROUP BY 1""")
+@query("missing_refs", """SELECT vec_id, count(*) AS rows FROM embeddings
+WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = vec_id) GROUP BY 1""")
 def missing_refs(spark, folder):
-    known = table(spark, folder, "customer").filter(F.col("c_acctbal") > 0)
-    return D.missing_references(table(spark, folder, "orders"), known, "o_custkey", "c_custkey")
+    """Embeddings without a label."""
+    return D.missing_references(table(spark, folder, "embeddings"), table(spark, folder, "labels"), "vec_id", "doc_id")
 
 
 @query("duplicate_keys", """SELECT concat_ws(':', l_orderkey, l_linenumber) AS key, count(*) AS rows FROM lineitem GROUP BY 1 HAVING count(*) > 1""")
@@ -201,11 +200,14 @@ def vector_entries(spark, folder):
 _JACCARD = "CASE WHEN len(a.rules) + len(b.rules) = 0 THEN 0.0 ELSE 1 - len(list_intersect(a.rules, b.rules)) / len(list_distinct(list_concat(a.rules, b.rules))) END"
 
 
-@query("novelty_nearest", f"""WITH {ENTRY_SQL}, p AS (
+NEAREST_SQL = f"""WITH {ENTRY_SQL}, p AS (
   SELECT a.sequence, b.sequence AS other, {_SPEC_DISTANCE_SQL.replace("1 - len(list_intersect(a.rules, b.rules)) / len(list_distinct(list_concat(a.rules, b.rules)))", _JACCARD)} AS sd,
     CASE WHEN a.sample_id = b.sample_id THEN len(list_filter(range(1, 65), lambda i: a.signature[i] <> b.signature[i])) / 64 END AS bd
   FROM e a JOIN e b ON b.sequence < a.sequence),
-n AS (SELECT sequence, min(sd) AS sd, min(bd) AS bd, arg_min(other, coalesce(bd, sd) * 1000000000 + other / 1000000) AS other FROM p GROUP BY 1)
+n AS (SELECT sequence, min(sd) AS sd, min(bd) AS bd, arg_min(other, coalesce(bd, sd) * 1000000000 + other / 1000000) AS other FROM p GROUP BY 1)"""
+
+
+@query("novelty_nearest", NEAREST_SQL + """
 SELECT e.sequence, e.entry_id, n.other AS nearest_sequence, round(coalesce(sd, 1.0), 9)::DOUBLE AS spec_distance, round(bd, 9) AS behaviour_distance,
   round(coalesce(bd, sd, 1.0), 9)::DOUBLE AS distance, coalesce(bd, sd, 1.0) > 0 AS is_novel
 FROM e LEFT JOIN n USING (sequence)""")
@@ -214,17 +216,12 @@ def novelty_nearest(spark, folder):
     return found.withColumns({c: r9(c) for c in ("spec_distance", "behaviour_distance", "distance")})
 
 
-@query("novelty_nearest_id", f"""WITH {ENTRY_SQL}, p AS (
-  SELECT a.sequence, b.sequence AS other, len(list_filter(range(1, 65), lambda i: a.signature[i] <> b.signature[i])) AS d
-  FROM e a JOIN e b ON b.sequence < a.sequence AND b.sample_id = a.sample_id)
-SELECT sequence, arg_min(concat('e', other), d * 1000000 + other) AS nearest_entry_id FROM p GROUP BY 1""")
+@query("novelty_nearest_id", NEAREST_SQL + """
+SELECT e.sequence, CASE WHEN n.other IS NOT NULL THEN concat('e', n.other) END AS nearest_entry_id FROM e LEFT JOIN n USING (sequence)""")
 def novelty_nearest_id(spark, folder):
-    """Nearest behaviour inside the comparable samples, named by entry id."""
-    entries = vector_entries(spark, folder).filter(F.col("sample_id").isNotNull())
-    dense = ordinal(entries.withColumnRenamed("sequence", "source"), [], ["source"], "sequence")
-    found = N.novelty(dense.withColumns({"kind": F.lit("heuristic-rules"), "rules": F.array("entry_id")}))
-    named = N.with_nearest_id(found.filter(F.col("behaviour_distance").isNotNull()), dense)
-    return named.join(dense.select("entry_id", "source"), "entry_id").select(F.col("source").alias("sequence"), "nearest_entry_id")
+    """The nearest earlier entry by name, by behaviour where two entries compare and by spec elsewhere."""
+    entries = vector_entries(spark, folder)
+    return N.with_nearest_id(N.novelty(entries), entries).select("sequence", "nearest_entry_id")
 
 
 @query("archive_append", """WITH x AS (SELECT md5(text) AS entry_id, item_id AS sequence FROM benchmark),
@@ -251,66 +248,58 @@ def content_ids(spark, folder):
     return table(spark, folder, "part").select("p_partkey", content_id(kind=F.col("p_type"), size=F.col("p_size")).alias("entry_id"))
 
 
-EDGE_SQL = """edges AS (SELECT DISTINCT concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst FROM lineitem WHERE l_quantity >= 45
-  UNION SELECT DISTINCT concat('p', l_partkey), concat('s', l_suppkey) FROM lineitem WHERE l_quantity >= 45)"""
+EDGE_SQL = """edges AS (SELECT DISTINCT concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst FROM lineitem 
+  UNION SELECT DISTINCT concat('p', l_partkey), concat('s', l_suppkey) FROM lineitem)"""
 
 
-@query("graph_reach", f"""WITH RECURSIVE {EDGE_SQL}, walk AS (
-  SELECT 's0' AS state, 0 AS level UNION SELECT dst, level + 1 FROM walk JOIN edges ON src = state WHERE level < 8)
-SELECT state, min(level) AS level FROM walk GROUP BY 1""")
+@query("graph_reach", f"""WITH RECURSIVE {EDGE_SQL}, walk(state, level) USING KEY (state) AS (
+  SELECT 's0', 0 UNION SELECT dst, min(level) + 1 FROM walk JOIN edges ON src = walk.state
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.walk AS r WHERE r.state = dst) GROUP BY dst)
+SELECT state, level FROM walk""")
 def graph_reach(spark, folder):
-    """Parts and suppliers linked by large shipments, from supplier 0."""
-    big = table(spark, folder, "lineitem").filter(F.col("l_quantity") >= 45)
+    """Parts and suppliers linked by shipments, from supplier 0."""
+    big = table(spark, folder, "lineitem")
     s, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
     edges = big.select(s.alias("src"), p.alias("dst")).unionByName(big.select(p.alias("src"), s.alias("dst"))).distinct()
     start = spark.createDataFrame([("s0",)], "state string")
     return G.reach(edges, start)
 
 
-TREE_SQL = """t AS (SELECT conv_id, turn, role, string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn) AS state,
-  max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
-edges AS (SELECT DISTINCT CASE WHEN turn = 0 THEN 'start' ELSE left(state, length(state) - length(role) - 1) END AS src, role AS action, state AS dst, turn AS level FROM t),
-leaf AS (SELECT state, CAST(count(*) % 3 - 1 AS INTEGER) AS value FROM t WHERE turn = last AND state NOT IN (SELECT src FROM edges) GROUP BY 1),
-v8 AS (SELECT state, value FROM leaf)""" + "".join(
-    f""",
-v{k} AS (SELECT * FROM v{k + 1} UNION ALL SELECT src, max(-value) FROM edges JOIN v{k + 1} ON state = dst WHERE level = {k} GROUP BY 1)"""
-    for k in range(7, -1, -1)
-)
+TREE_SQL = """RECURSIVE t AS (SELECT conv_id, turn, role, string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn) AS state,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS depth, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+edges AS (SELECT DISTINCT CASE WHEN depth = 1 THEN 'start' ELSE left(state, length(state) - length(role) - 1) END AS src, role AS action, state AS dst FROM t),
+leaf AS (SELECT state, any_value(depth) AS depth, CAST(count(*) % 3 - 1 AS INTEGER) AS value FROM t WHERE turn = last AND state NOT IN (SELECT src FROM edges) GROUP BY 1),
+solved AS (SELECT state, value, depth FROM leaf WHERE depth = (SELECT max(depth) FROM leaf)
+  UNION ALL (SELECT src, max(-value), any_value(solved.depth) - 1 FROM solved JOIN edges ON dst = solved.state GROUP BY src
+    UNION ALL SELECT l.state, l.value, l.depth FROM leaf l WHERE l.depth = (SELECT max(depth) - 1 FROM solved)))"""
 
 
 def role_tree(spark, folder):
-    """Conversations as paths in a tree of roles: (edges with level, values of the leaves).
+    """Conversations as paths in a tree of roles: (edges, values of the leaves).
 
-    A leaf nobody continues is worth its number of conversations mod 3, minus 1.
+    A state is the list of roles so far. A leaf nobody continues is worth its number of conversations mod 3, minus 1.
     """
     turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("seq_id"), "turn", "role")
-    coded = {f"_{r}": F.when(F.col("role") == r, F.pow(F.lit(4), F.col("turn"))).otherwise(0).cast("bigint") * k
-             for k, r in enumerate(("user", "assistant", "system"), 1)}
-    summed = running(turns, ["seq_id"], ["turn"], {"code": sum(coded.values())})
-    names = F.array(*[F.lit(r) for r in ("user", "assistant", "system")])
-    digit = lambda i: F.floor(F.col("code") / F.pow(F.lit(4), i)) % 4
-    path = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("turn")), lambda i: F.element_at(names, digit(i).cast("int")))
-    state = F.array_join(path, ">")
-    parent = F.when(F.col("turn") == 0, "start").otherwise(F.array_join(F.slice(path, 1, F.col("turn").cast("int")), ">"))
-    stepped = summed.select("seq_id", "turn", F.col("role").alias("action"), state.alias("dst"), parent.alias("src"))
-    edges = stepped.select("src", "action", "dst", F.col("turn").cast("int").alias("level")).distinct()
+    so_far = Window.partitionBy("seq_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    path = F.collect_list("role").over(so_far)
+    parent = F.when(F.size("path") == 1, "start").otherwise(F.array_join(F.slice("path", 1, F.size("path") - 1), ">"))
+    stepped = turns.withColumn("path", path).select("seq_id", "turn", F.col("role").alias("action"), F.array_join("path", ">").alias("dst"), parent.alias("src"))
+    edges = stepped.select("src", "action", "dst").distinct()
     ends = stepped.groupBy("seq_id").agg(F.max_by("dst", "turn").alias("state"))
     leaves = ends.groupBy("state").agg((F.count(F.lit(1)) % 3 - 1).cast("int").alias("value"))
     return edges, leaves.join(edges.select(F.col("src").alias("state")), "state", "left_anti")
 
 
 def _induction(spark, folder):
-    edges, leaves = role_tree(spark, folder)
-    levels = edges.select(F.col("src").alias("state"), "level").distinct()
-    return G.backward_induction(edges.drop("level"), leaves, levels)
+    return G.backward_induction(*role_tree(spark, folder))
 
 
-@query("backward_induction", f"WITH {TREE_SQL} SELECT state, value FROM v0")
+@query("backward_induction", f"WITH {TREE_SQL} SELECT state, value FROM solved")
 def backward_induction(spark, folder):
     return _induction(spark, folder)[0]
 
 
 @query("optimal_actions", f"""WITH {TREE_SQL} SELECT e.src AS state, string_agg(action, ',' ORDER BY action) AS optimal
-FROM edges e JOIN v0 c ON c.state = dst JOIN v0 p ON p.state = src WHERE -c.value = p.value GROUP BY 1""")
+FROM edges e JOIN solved c ON c.state = dst JOIN solved p ON p.state = src WHERE -c.value = p.value GROUP BY 1""")
 def optimal_actions(spark, folder):
     return G.optimal_sets(_induction(spark, folder)[1]).withColumn("optimal", F.array_join("optimal", ","))

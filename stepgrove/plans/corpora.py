@@ -56,6 +56,19 @@ def windows(steps, size):
     )
 
 
+def sliding(steps, size):
+    """Every run of ``size`` steps of a sequence: seq_id, start (its first ply) and actions.
+
+    A step is dealt to the runs that hold it and the runs are put together by (sequence, start), so a long sequence is
+    as many small groups as it has steps.
+    """
+    starts = F.sequence(F.greatest(F.col("ply") - (size - 1), F.lit(0).cast("bigint")), F.col("ply"))
+    dealt = steps.select("seq_id", "ply", "action", F.explode(starts).alias("start"))
+    at = lambda i: F.max(F.when(F.col("ply") - F.col("start") == i, F.col("action")))
+    found = dealt.groupBy("seq_id", "start").agg(F.array(*[at(i) for i in range(size)]).alias("actions"), F.count(F.lit(1)).alias("filled"))
+    return found.filter(F.col("filled") == size).drop("filled")
+
+
 STEPS_SQL = """steps AS (
   SELECT user_id AS seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ply,
          event_type AS action, ts, event_id, value

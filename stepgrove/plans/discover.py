@@ -29,10 +29,14 @@ def list_agreement(played, by=()):
 
 
 def list_entries(spark, lists, signatures, provenance, first=0):
-    """Archive entries of decision lists: identity from (game, rules, evaluation), spec and signature."""
-    rows = [(first + i, d.name, "heuristic-rules", d.rule_texts()) for i, d in enumerate(lists)]
-    spec = spark.createDataFrame(rows, "ord bigint, name string, kind string, rules array<string>")
-    entry = F.md5(F.concat_ws("|", F.lit(provenance["game"]), F.array_join("rules", "|"), F.lit(provenance["evaluation_id"])))
+    """Archive entries of decision lists: identity from game, rules, definitions and evaluation, spec and signature."""
+    identity = lambda d: json.dumps(
+        {"game": provenance["game"], "evaluation": provenance["evaluation_id"], "rules": d.rule_texts(), "definitions": d.definition_texts()},
+        sort_keys=True, separators=(",", ":"),
+    )
+    rows = [(first + i, d.name, "heuristic-rules", d.rule_texts(), identity(d)) for i, d in enumerate(lists)]
+    spec = spark.createDataFrame(rows, "ord bigint, name string, kind string, rules array<string>, identity string")
+    entry = F.md5("identity")
     signed = signatures.select(F.col("candidate").alias("name"), "sample_id", F.transform("signature", lambda a: a.cast("string")).alias("signature"))
     source = F.from_json(F.lit(json.dumps(provenance)), PROVENANCE)
     return spec.join(signed, "name", "left").select(

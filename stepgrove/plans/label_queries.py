@@ -9,11 +9,12 @@ from ..operators import dataset as D
 from ..operators.features import Feature, Vocabulary, boolify
 from . import boards as B
 from .catalog import joined, query, r9, table
-from .corpora import STEPS_SQL, event_steps, windows
+from .corpora import STEPS_SQL, event_steps, sliding
 
 DOC_STEPS_SQL = """s AS (SELECT doc_id AS state, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS action, lang, source FROM documents),
-j AS (SELECT s.*, toxic, CASE WHEN action = quality THEN 1 ELSE 0 END AS hit FROM s JOIN labels ON doc_id = state)"""
-RATE_SQL = "count(*) AS positions, CAST(sum(hit) AS BIGINT) AS agreeing, round(sum(hit) / count(*), 9) AS rate"
+j AS (SELECT s.*, toxic, doc_id IS NOT NULL AS known, CASE WHEN action = quality THEN 1 ELSE 0 END AS hit FROM s LEFT JOIN labels ON doc_id = state)"""
+RATE_SQL = """count(*) FILTER (known) AS positions, CAST(sum(hit) AS BIGINT) AS agreeing, count(*) FILTER (NOT known) AS uncovered,
+  round(CASE WHEN count(*) FILTER (known) = 0 THEN 0.0 ELSE sum(hit) / count(*) FILTER (known) END, 9)::DOUBLE AS rate"""
 
 
 def document_steps(spark, folder):
@@ -57,20 +58,19 @@ def uncovered_rows(spark, folder):
     return A.uncovered(document_steps(spark, folder), label_annotations(spark, folder))
 
 
-WINDOW4_SQL = """w AS (SELECT seq_id, ply // 4 AS win, max(CASE WHEN ply % 4 = 0 THEN action END) AS a0,
-  max(CASE WHEN ply % 4 = 1 THEN action END) AS a1, max(CASE WHEN ply % 4 = 2 THEN action END) AS a2,
-  max(CASE WHEN ply % 4 = 3 THEN action END) AS a3 FROM steps GROUP BY 1, 2),
-m AS (SELECT concat_ws('>', a0, a1, a2) AS state, a3 AS action, seq_id % 3 AS chosen_by, win AS ply FROM w WHERE a3 IS NOT NULL),
+WINDOW4_SQL = """w AS (SELECT seq_id, ply, action, lag(action, 3) OVER o AS a0, lag(action, 2) OVER o AS a1, lag(action) OVER o AS a2
+  FROM steps WINDOW o AS (PARTITION BY seq_id ORDER BY ply)),
+m AS (SELECT concat_ws('>', a0, a1, a2) AS state, action, seq_id % 3 AS chosen_by, ply FROM w WHERE ply >= 3),
 c AS (SELECT state, action, count(*) AS n FROM m GROUP BY 1, 2),
 best AS (SELECT state, list_sort(list(action)) AS optimal FROM (SELECT *, rank() OVER (PARTITION BY state ORDER BY n DESC) AS r FROM c) WHERE r = 1 GROUP BY 1)"""
 
 
 def next_moves(spark, folder):
-    """Runs of four events: the first three are the state, the fourth the action."""
-    w = windows(event_steps(spark, folder), 4).filter(F.element_at("actions", 4).isNotNull())
+    """Every step with three before it: those are the state, the step is the action."""
+    w = sliding(event_steps(spark, folder), 4)
     return w.select(
         F.array_join(F.slice("actions", 1, 3), ">").alias("state"), F.element_at("actions", 4).alias("action"),
-        (F.col("seq_id") % 3).alias("chosen_by"), F.col("window").alias("ply"),
+        (F.col("seq_id") % 3).alias("chosen_by"), (F.col("start") + 3).alias("ply"),
     )
 
 
@@ -88,7 +88,7 @@ def argmax_actions(spark, folder):
 
 
 @query("agreement_report", f"""WITH {STEPS_SQL}, {WINDOW4_SQL},
-j AS (SELECT m.*, CASE WHEN list_contains(optimal, action) THEN 1 ELSE 0 END AS hit FROM m JOIN best USING (state))
+j AS (SELECT m.*, true AS known, CASE WHEN list_contains(optimal, action) THEN 1 ELSE 0 END AS hit FROM m JOIN best USING (state))
 SELECT CASE WHEN grouping(chosen_by) = 0 THEN 'chosen_by' WHEN grouping(ply) = 0 THEN 'ply' ELSE 'overall' END AS dimension,
        CASE WHEN grouping(chosen_by) = 0 THEN chosen_by::VARCHAR WHEN grouping(ply) = 0 THEN ply::VARCHAR ELSE 'all' END AS key,
        {RATE_SQL} FROM j GROUP BY GROUPING SETS ((chosen_by), (ply), ())""")

@@ -13,8 +13,9 @@ from ..operators.features import Feature
 from ..session import materialize
 from . import boards as B
 from .catalog import joined, query, r9, table
-from .corpora import STEPS_SQL, event_steps, windows
+from .corpora import STEPS_SQL, event_steps, sliding
 from .discover import list_agreement, play_lists
+from .label_queries import LABEL_SQL
 
 ITEM_COLUMNS = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
 FLAGS = ["A", "N", "R"]
@@ -204,29 +205,30 @@ def evaluate_candidates(spark, folder):
     return list_agreement(stacked, ["value"]).withColumn("agreement_rate", r9("agreement_rate"))
 
 
-PAIR_SQL = """w AS (SELECT seq_id, ply // 4 AS win, max(CASE WHEN ply % 4 = 0 THEN action END) AS a0, max(CASE WHEN ply % 4 = 1 THEN action END) AS a1,
-  max(CASE WHEN ply % 4 = 2 THEN action END) AS a2 FROM steps GROUP BY 1, 2),
-e AS (SELECT DISTINCT concat_ws('>', a0, a1) AS state, a2 AS action, concat_ws('>', a1, a2) AS next FROM w WHERE a2 IS NOT NULL),
-f AS (SELECT concat_ws('>', a0, a1) AS state, count(*) AS n, count(DISTINCT seq_id) AS users FROM w WHERE a1 IS NOT NULL GROUP BY 1),
-v AS (SELECT e.state, action, (f.n - 2 * users)::DOUBLE AS score FROM e JOIN f ON f.state = e.next)"""
+PAIR_SQL = """w AS (SELECT seq_id, ply, action, lag(action, 2) OVER o AS a0, lag(action) OVER o AS a1 FROM steps WINDOW o AS (PARTITION BY seq_id ORDER BY ply)),
+e AS (SELECT DISTINCT concat_ws('>', a0, a1) AS state, action, concat_ws('>', a1, action) AS next FROM w WHERE ply >= 2),
+f AS (SELECT concat_ws('>', a1, action) AS state, count(*) AS n, count(DISTINCT seq_id) AS users FROM w WHERE ply >= 1 GROUP BY 1),
+v AS (SELECT e.state, action, (f.n - 2 * users)::DOUBLE AS score FROM e JOIN f ON f.state = e.next WHERE action <> 'error')"""
 
 
 @query("maximize_successor", f"""WITH {STEPS_SQL}, {PAIR_SQL}
 SELECT state, string_agg(action, ',' ORDER BY action) AS candidates FROM (SELECT *, max(score) OVER (PARTITION BY state) AS top FROM v)
 WHERE score = top GROUP BY 1""")
 def maximize_successor(spark, folder):
-    w = windows(event_steps(spark, folder), 4)
+    """The next event that leads to the most visited pair, of every pair of events; errors are never legal."""
+    steps = event_steps(spark, folder)
     at = lambda i: F.element_at("actions", i)
     pair = lambda i, j: F.concat_ws(">", at(i), at(j))
-    edges = w.filter(at(3).isNotNull()).select(pair(1, 2).alias("state"), at(3).alias("action"), pair(2, 3).alias("next")).distinct()
-    features = w.filter(at(2).isNotNull()).groupBy(pair(1, 2).alias("state")).agg(
+    edges = sliding(steps, 3).select(pair(1, 2).alias("state"), at(3).alias("action"), pair(2, 3).alias("next")).distinct()
+    features = sliding(steps, 2).groupBy(pair(1, 2).alias("state")).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("seq_id").alias("users")
     )
     vocabulary = R.Vocabulary([Feature("n", "primitive", "int"), Feature("users", "primitive", "int")])
     score = E.arith("sub", E.ref("n"), E.arith("mul", E.const(2), E.ref("users")))
     scored = R.scored_successors(edges, features, vocabulary, score)
     picks = R.DecisionList("popular", [R.Rule("go", 1, E.const(True), R.Selector("maximize", score))], definitions=vocabulary)
-    legal = scored.withColumn("legal", F.transform("scored", lambda s: s["action"]))
+    named = F.transform("scored", lambda s: s["action"])
+    legal = scored.withColumn("legal", F.filter(named, lambda a: a != "error")).filter(F.size("legal") > 0)
     ready = legal.withColumns({"n": F.lit(0), "users": F.lit(0)})
     return R.apply_rules(ready, picks, scored={"go": F.col("scored")}).select(
         "state", F.array_join(F.array_sort("candidates"), ",").alias("candidates")
@@ -239,8 +241,8 @@ DOC_FEATURES = [
     Feature("long", "primitive", "bool"), Feature("english", "primitive", "bool"),
     Feature("size", "primitive", "int"), Feature("lines", "primitive", "int"), Feature("density", "primitive", "float"),
 ]
-DOC_SQL = """docs AS (SELECT doc_id, n_chars >= 1000 AS long, lang = 'en' AS english, least(n_chars // 500, 6) AS size,
-  least(length(text) - length(replace(text, chr(10), '')), 5) AS lines, quality, toxic
+DOC_SQL = """docs AS (SELECT doc_id, n_chars >= 1000 AS long, lang = 'en' AS english, n_chars // 500 AS size,
+  length(text) - length(replace(text, chr(10), '')) AS lines, quality, toxic
   FROM documents JOIN labels USING (doc_id))"""
 
 
@@ -249,8 +251,7 @@ def labelled_documents(spark, folder):
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return docs.select(
         "doc_id", (F.col("n_chars") >= 1000).alias("long"), (F.col("lang") == "en").alias("english"),
-        F.least(F.floor(F.col("n_chars") / 500), F.lit(6)).cast("bigint").alias("size"),
-        F.least(newlines, F.lit(5)).cast("bigint").alias("lines"),
+        F.floor(F.col("n_chars") / 500).cast("bigint").alias("size"), newlines.cast("bigint").alias("lines"),
         (F.col("n_chars") / F.greatest(newlines, F.lit(1))).alias("density"), "quality", "toxic",
     )
 
@@ -387,11 +388,54 @@ def enumeration_counters(spark, folder):
     return spark.createDataFrame([row], "enumerated bigint, deduplicated bigint, scored bigint, passed bigint")
 
 
-@query("mined_rules")
+MINE = R.MineParams((2, 6), 2, 0, 0.2)
+
+
+def mined_sql(params):
+    """Mining in SQL: split search level by level over the board features, then the leaves as rules with evidence."""
+    base = B.feature_sql()
+    classes = [n for n, k, _ in base if k == "set"]
+    shown = [f"count({n})" if k == "set" else n for n, k, _ in base]
+    width, k, deepest = len(base), range(len(classes) + 1), max(params.depths)
+    values = ", ".join(f"{('len(' + s + ')') if kind == 'set' else s}::DOUBLE" for _, kind, s in base)
+    parts = [f"""rowed AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '{params.seed}', canonical_state)), canonical_state) > n - floor(n * {params.holdout_fraction}) AS held
+  FROM labelled, (SELECT count(*) AS n FROM labelled)),
+d0 AS (SELECT canonical_state, coalesce(list_position({classes}, label), {len(classes) + 1}) - 1 AS y, label, qualifying, occurrences, value, [{values}] AS v, '' AS path, [] AS conds
+  FROM rowed WHERE NOT held)"""]
+    for level in range(deepest):
+        total = lambda side: " + ".join(f"{side}{i}" for i in k)
+        squares = lambda side: " + ".join(f"{side}{i} * {side}{i}" for i in k)
+        text = f"'(' || {shown}[col + 1] || CASE WHEN v[col + 1] <= val THEN ' <= ' ELSE ' > ' END || floor(val)::BIGINT || ')'"
+        parts.append(f"""e{level} AS (SELECT path, unnest(range(0, {width})) AS col, unnest(v) AS val, y FROM d{level}),
+g{level} AS (SELECT path, col, val, {", ".join(f"count(*) FILTER (y = {i}) AS c{i}" for i in k)} FROM e{level} GROUP BY path, col, val),
+w{level} AS (SELECT path, col, val, {", ".join(f"(sum(c{i}) OVER w)::HUGEINT AS l{i}, (sum(c{i}) OVER p - sum(c{i}) OVER w)::HUGEINT AS r{i}, (sum(c{i}) OVER p)::HUGEINT AS t{i}" for i in k)}
+  FROM g{level} WINDOW w AS (PARTITION BY path, col ORDER BY val), p AS (PARTITION BY path, col)),
+s{level} AS (SELECT path, col, val, {total("l")} AS nl, {total("r")} AS nr, {squares("l")} AS al, {squares("r")} AS ar, {total("t")} AS n, {squares("t")} AS a FROM w{level}),
+f{level} AS (SELECT path, col, val, al * nr + ar * nl AS num, nl * nr AS den FROM s{level}
+  WHERE nr > 0 AND nl >= {params.min_leaf} AND nr >= {params.min_leaf} AND (al * nr + ar * nl) * n > a * nl * nr),
+q{level} AS (SELECT *, num // den AS q0, (num % den) * 1000000000 // den AS q1, ((num % den) * 1000000000 % den) * 1000000000 // den AS q2 FROM f{level}),
+b{level} AS (SELECT path, col, val FROM q{level} QUALIFY row_number() OVER (PARTITION BY path ORDER BY q0 DESC, q1 DESC, q2 DESC, col, val) = 1),
+d{level + 1} AS (SELECT canonical_state, y, label, qualifying, occurrences, value, v, path || CASE WHEN v[col + 1] <= val THEN '0' ELSE '1' END AS path,
+  list_append(conds, {text}) AS conds FROM d{level} JOIN b{level} USING (path))""")
+    lists = []
+    for depth in params.depths:
+        ends = [f"SELECT * FROM d{i} WHERE path NOT IN (SELECT path FROM b{i})" for i in range(depth)] + [f"SELECT * FROM d{depth}"]
+        parts.append(f"""leaf{depth} AS ({" UNION ALL ".join(ends)}),
+num{depth} AS (SELECT path, row_number() OVER (ORDER BY path) AS k, any_value(conds) AS conds FROM leaf{depth} GROUP BY path),
+x{depth} AS (SELECT path, q, count(*) AS sound FROM (SELECT path, unnest(qualifying) AS q FROM leaf{depth}) GROUP BY 1, 2),
+c{depth} AS (SELECT path, q AS class, sound FROM x{depth} QUALIFY row_number() OVER (PARTITION BY path ORDER BY sound DESC, list_position({classes}, q)) = 1)""")
+        lists.append(f"""SELECT 'mined-d{depth}-l{params.min_leaf}' AS candidate, concat('rule', any_value(k)) AS rule, concat('(', array_to_string(any_value(num{depth}.conds), ' and '), ')') AS condition,
+  class, count(*) AS support, any_value(sound) AS sound, round(any_value(sound) / count(*), 9) AS soundness, count(*) FILTER (label = class) AS label_matches,
+  CAST(sum(occurrences) AS BIGINT) AS occurrences, count(*) FILTER (value = 1) AS win, count(*) FILTER (value = 0) AS draw, count(*) FILTER (value = -1) AS loss
+FROM leaf{depth} JOIN c{depth} USING (path) JOIN num{depth} USING (path) GROUP BY path, class""")
+    return f"WITH {STEPS_SQL}, {B.BOARDS_SQL}, {B.CANONICAL_SQL}, {LABEL_SQL}, " + ",\n".join(parts) + "\n" + "\nUNION ALL\n".join(lists)
+
+
+@query("mined_rules", mined_sql(MINE))
 def mined_rules(spark, folder):
     """Decision lists mined from the labelled board dataset at two depths, one row per rule with its evidence."""
     _, rows, vocabulary = B.board_dataset(spark, folder)
-    found = R.mine(rows, vocabulary, R.MineParams((2, 4), 2, 0, 0.2))
+    found = R.mine(rows, vocabulary, MINE)
     shape = "candidate string, rule string, condition string, " + ", ".join(
         f"{c} {'string' if c == 'class' else 'double' if c == 'soundness' else 'bigint'}" for c in R.EVIDENCE
     )
@@ -399,7 +443,7 @@ def mined_rules(spark, folder):
     for m in found:
         texts = {r.name: r.condition.text() for r in m.decisions.rules}
         out += [(e["candidate"], e["rule"], texts[e["rule"]], *[e[c] for c in R.EVIDENCE]) for e in m.evidence]
-    return spark.createDataFrame(out, shape)
+    return spark.createDataFrame(out, shape).withColumn("soundness", r9("soundness"))
 
 
 @query("induced_concepts")

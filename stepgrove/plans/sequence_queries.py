@@ -76,8 +76,7 @@ def outcome_by_length(spark, folder):
 
 @query("outcome_by_ply", f"WITH {STEPS_SQL} SELECT ply, {TALLY_SQL} FROM steps JOIN seqs USING (seq_id) GROUP BY 1")
 def outcome_by_ply(spark, folder):
-    c = event_corpus(spark, folder)
-    return S.outcome_tally(C.attach_sequences(c.steps, c.sequences, ["result"]), ["ply"])
+    return S.outcome_by_ply(event_corpus(spark, folder).sequences)
 
 
 REFLECTION = [[0, 1, 2, 3, 4], [4, 3, 2, 1, 0]]

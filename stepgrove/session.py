@@ -1,5 +1,7 @@
 """Session helpers: a local session for tests and benches, and the checkpoint folder."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,17 +24,32 @@ def local_session(cores="*", shuffle_partitions=8, name="stepgrove"):
 
 
 def checkpoint_folder(spark):
-    """The folder named by ``spark.checkpoint.dir``; only a local master may fall back to a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    A cluster must name a shared one, with its file system (``hdfs://``, ``s3a://``, ``file://`` of a shared mount). A
+    single-process master that names none gets a folder of its own, which goes when the process ends.
+    """
+    master = spark.conf.get("spark.master", "")
+    single = master == "local" or master.startswith("local[")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not single and "://" not in configured and ":/" not in configured:
+            raise ValueError(f"spark.checkpoint.dir must name its file system, not only a path: {configured}")
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not single:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="stepgrove-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def drop_table(spark, path):
+    """Delete a stored table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def store(df, partition_by=()):
     """Write ``df`` below the checkpoint folder. Returns (path, number of rows).
 

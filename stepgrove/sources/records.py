@@ -30,7 +30,10 @@ def write_jsonl(df, path, mode="errorifexists"):
 def write_table(df, path, mode="errorifexists", partition_by=()):
     """Write Parquet and return the number of rows written."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).partitionBy(*partition_by)
+    if partition_by:
+        writer = writer.option("partitionOverwriteMode", "dynamic")  # overwriting replaces the written partitions only
+    writer.parquet(path)
     return seen.get["rows"]
 
 

@@ -24,15 +24,18 @@ class Run:
 
 
 def write_run(path, run_id, game, sequences, steps):
-    """Write sequences and steps partitioned by run, then the manifest row with their totals."""
+    """Write sequences and steps partitioned by run, then the manifest row with their totals.
+
+    Only the partitions of this run are replaced, so writing a run again leaves one copy of it.
+    """
     spark = sequences.sparkSession
     tag = F.lit(run_id).alias("run_id")
     totals = {}
     for name, df in (("sequences", sequences), ("steps", steps)):
         columns = [c for c in df.columns if c != "run_id"]
-        totals[name] = write_table(df.select(*columns, tag), f"{path}/{name}", "append", ["run_id"])
+        totals[name] = write_table(df.select(*columns, tag), f"{path}/{name}", "overwrite", ["run_id"])
     row = (schemas.SCHEMA_VERSION, run_id, game, totals["sequences"], totals["steps"])
-    write_table(spark.createDataFrame([row], schemas.RUN), f"{path}/run", "append")
+    write_table(spark.createDataFrame([row], schemas.RUN), f"{path}/run", "overwrite", ["run_id"])
     return totals
 
 

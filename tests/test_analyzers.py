@@ -17,7 +17,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("names, message", [
-    ([], "no analyzers"), (["nope"], "unknown"), (["mine", "mine"], "more than once"), (["mine", "dataset"], "required order"),
+    ([], "empty"), (["nope"], "nope"), (["mine", "mine"], "more than once"), (["mine", "dataset"], "in this order"),
 ])
 def test_names_are_checked(names, message):
     with pytest.raises(ValueError, match=message):
@@ -86,6 +86,21 @@ def test_discover_archives_candidates_once(spark, tmp_path):
     assert again == 0
 
 
+def test_lists_that_differ_in_a_definition_have_other_ids(spark):
+    from stepgrove.plans.discover import list_entries
+
+    def made(limit):
+        d = R.DecisionList("same", [R.Rule("r", 1, R.E.ref("concept_1"), R.Selector())])
+        d.definitions.push(Feature("size", "primitive", "int"))
+        d.definitions.push(Feature("concept_1", "invented", "bool", "", None, R.E.compare("ge", R.E.ref("size"), R.E.const(limit))))
+        return d
+
+    signed = spark.createDataFrame([], "candidate string, sample_id string, signature array<string>")
+    provenance = {"game": "boards", "source": "discover", "evaluation_id": "e1", "candidate": "c"}
+    ids = [r["entry_id"] for r in list_entries(spark, [made(1), made(2), made(1)], signed, provenance).orderBy("ord").collect()]
+    assert ids[0] != ids[1] and ids[0] == ids[2]
+
+
 def test_design_checks(spark):
     assert P.all_pairings(["a", "b"], 2) == [["a", "a"], ["a", "b"], ["b", "a"], ["b", "b"]]
     cells = P.design_cells(spark, {"x": ["p", "q", "r"], "y": [0, 2]}).orderBy("index").collect()

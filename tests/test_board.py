@@ -9,7 +9,7 @@ from stepgrove.functions.symmetry import move_positions
 from stepgrove.operators import dataset as D
 from stepgrove.operators import graph as G
 from stepgrove.operators import rules as R
-from stepgrove.operators.features import Vocabulary, occupancy_features, side_to_move
+from stepgrove.operators.features import Feature, Vocabulary, occupancy_features, side_to_move
 from stepgrove.plans import boards as B
 from stepgrove.session import materialize
 
@@ -25,7 +25,7 @@ def graph(spark):
 def solved(spark, graph):
     states, edges = graph
     levels = G.reach(edges, spark.createDataFrame([(".........:X",)], "state string"), limit=1_000_000)
-    values, optimal = G.backward_induction(edges, states.filter("terminal").select("state", "value"), levels)
+    values, optimal = G.backward_induction(edges, states.filter("terminal").select("state", "value"))
     return levels, values, materialize(G.optimal_sets(optimal))
 
 
@@ -113,3 +113,34 @@ def test_mined_list_is_sound_and_stable(labelled):
 
 def labelled_states(labelled):
     return labelled.select("canonical_state", "cells", "mover", "legal", "optimal")
+
+
+def test_values_on_edges_that_skip_levels(spark):
+    edges = spark.createDataFrame([("a", 1, "b"), ("a", 2, "c"), ("b", 1, "c"), ("c", 1, "d")], "src string, action int, dst string")
+    ends = spark.createDataFrame([("d", -1)], "state string, value int")
+    values, optimal = G.backward_induction(edges, ends)
+    assert {r["state"]: r["value"] for r in values.collect()} == {"a": 1, "b": -1, "c": 1, "d": -1}
+    assert {tuple(r) for r in optimal.collect()} == {("a", 1, "b"), ("b", 1, "c"), ("c", 1, "d")}
+
+
+def test_states_without_a_value_are_an_error(spark):
+    cycle = spark.createDataFrame([("a", 1, "b"), ("b", 1, "a"), ("a", 2, "c")], "src string, action int, dst string")
+    with pytest.raises(ValueError):
+        G.backward_induction(cycle, spark.createDataFrame([("c", 0)], "state string, value int"))
+    loose = spark.createDataFrame([("a", 1, "b"), ("a", 2, "c")], "src string, action int, dst string")
+    with pytest.raises(ValueError):
+        G.backward_induction(loose, spark.createDataFrame([("c", 0)], "state string, value int"))
+
+
+def test_maximize_stays_inside_the_legal_actions(spark):
+    df = spark.createDataFrame([(["x"], [("x", 1.0), ("y", 9.0)])], "legal array<string>, scored array<struct<action: string, score: double>>")
+    picks = R.DecisionList("m", [R.Rule("go", 1, R.E.const(True), R.Selector("maximize", R.E.const(1)))])
+    assert R.apply_rules(df, picks, scored={"go": F.col("scored")}).first()["candidates"] == ["x"]
+
+
+def test_a_successor_without_features_is_an_error(spark):
+    edges = spark.createDataFrame([("s", "x", "t"), ("s", "y", "u")], "state string, action string, next string")
+    features = spark.createDataFrame([("t", 3)], "state string, n bigint")
+    scored = R.scored_successors(edges, features, Vocabulary([Feature("n", "primitive", "int")]), R.E.ref("n"))
+    with pytest.raises(Exception, match="no features"):
+        scored.collect()

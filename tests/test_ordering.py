@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stepgrove.operators.corpus import expand_sequences, fold_states, sequence_summary, verify_steps, with_source
+from stepgrove.operators import ordering
 from stepgrove.operators.ordering import ordinal, running, stride_sample
-from stepgrove.operators.skew import skew_join
 
 
 @pytest.fixture(scope="module")
@@ -14,29 +15,51 @@ def log(spark):
 
 
 def same(a, b):
-    return sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    return sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_hot_groups_give_the_same_sums(log, keys):
     measures = {"s": F.col("v"), "c": F.lit(1)}
     plain = running(log, keys, ["t", "id"], measures, total="n")
-    cut = running(log, keys, ["t", "id"], measures, total="n", hot_rows=100)
-    assert "_chunk" not in cut.columns and same(plain, cut)
+    cut = running(log, keys, ["t", "id"], measures, total="n", sample=7)
+    assert "_range" not in cut.columns and same(plain, cut)
     assert same(
         running(log, keys, ["t", "id"], measures, exclusive=True),
-        running(log, keys, ["t", "id"], measures, exclusive=True, hot_rows=100),
+        running(log, keys, ["t", "id"], measures, exclusive=True, sample=7),
     )
 
 
 def test_equal_first_order_column_falls_back_to_the_next(log):
     flat = log.withColumn("t", F.lit(5).cast("bigint"))
-    assert same(ordinal(flat, ["k"], ["t", "id"]), ordinal(flat, ["k"], ["t", "id"], hot_rows=100))
+    assert same(ordinal(flat, ["k"], ["t", "id"]), ordinal(flat, ["k"], ["t", "id"], sample=7))
 
 
-def test_hot_text_order_is_refused(log):
-    with pytest.raises(TypeError):
-        ordinal(log.withColumn("t", F.col("t").cast("string")), ["k"], ["t"], hot_rows=100)
+@pytest.mark.parametrize("sample", [1, 3, 50, 10**6])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_any_cut_equals_a_plain_window(spark, sample, parts):
+    """Null order values, text order, one early outlier, null keys, ties in the first column."""
+    rows = [(None if i % 11 == 0 else i % 3, None if i % 13 == 0 else f"t{(i * 37) % 101}", 0 if i == 5 else 10**9 + i % 400, i, i % 5) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k bigint, s string, t bigint, id bigint, v bigint").repartition(parts)
+    for keys, order in ((["k"], ["s", "id"]), (["k"], ["t", "id"]), ([], ["s", "t", "id"])):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        plain = df.withColumns({
+            "c": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
+        })
+        assert same(plain, running(df, keys, order, {"c": F.col("v")}, total="n", sample=sample))
+        assert same(df.withColumn("p", (F.row_number().over(w) - 1).cast("bigint")), ordinal(df, keys, order, "p", sample=sample))
+
+
+def test_many_cuts_are_thinned(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MAX_CUTS", 40)
+    df = spark.range(5000).withColumn("v", F.lit(1).cast("bigint"))
+    got = running(df, [], ["id"], {"c": F.col("v")}, sample=1, keep_range=True)
+    assert got.filter("c <> id + 1").count() == 0 and 32 < got.select("_range").distinct().count() <= 41
+
+
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], "k bigint, t bigint")
+    assert ordinal(empty, ["k"], ["t"]).count() == 0 and ordinal(empty, [], ["t"]).count() == 0
 
 
 def test_partitioning_does_not_change_the_result(log):
@@ -44,18 +67,12 @@ def test_partitioning_does_not_change_the_result(log):
 
 
 def test_stride_sample(log):
-    for options in ({}, {"hot_rows": 100}):
+    for options in ({}, {"sample": 7}):
         got = stride_sample(log, ["k"], ["t", "id"], size=8, **options)
         counts = {r["k"]: r["count"] for r in got.groupBy("k").count().collect()}
         assert counts[0] == 8 and all(c <= 8 for c in counts.values())
 
 
-def test_skew_join(log, spark):
-    groups = spark.createDataFrame([(k, f"g{k}") for k in range(0, 50, 2)], "k bigint, name string")
-    for how in ("inner", "left"):
-        assert same(skew_join(log, groups, ["k"], ["id"], how), skew_join(log, groups, ["k"], ["id"], how, hot_rows=100))
-
-
 @pytest.fixture(scope="module")
 def games(spark):
     rows = [("a", [4, 0, 8], "X", 3), ("b", [], None, 0), ("c", [1, 2], "draw", 2)]

@@ -12,7 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 from check_queries import compare  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"mined_rules", "induced_concepts"}
+SLOW = {"induced_concepts"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW and n != "pipeline" and not n.startswith("op")])
 def test_query(spark, con, name):
     state, n, _, note = compare(spark, con, name, FOLDER)
     assert state == "ok", f"{state} {n} {note}"

@@ -70,6 +70,8 @@ def test_run_directory(spark, tmp_path, games):
         runs.load_run(spark, path, "r1", "board")
     assert runs.write_run(path, "r1", "board", games, expand_sequences(games)) == {"sequences": 2, "steps": 3}
     runs.write_run(path, "r2", "board", games.limit(1), expand_sequences(games.limit(1)))
+    assert runs.write_run(path, "r1", "board", games, expand_sequences(games)) == {"sequences": 2, "steps": 3}
+    assert runs.load_run(spark, path, "r2", "board").sequences.count() == 1
     run = runs.load_run(spark, path, "r1", "board")
     assert (run.sequences.count(), run.steps.count(), run.annotations) == (2, 3, None)
     with pytest.raises(ValueError, match="belongs to"):

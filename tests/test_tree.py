@@ -36,11 +36,11 @@ def key(nodes):
     return sorted(nodes, key=lambda n: n[0])
 
 
-@pytest.mark.parametrize("depth, min_leaf, hot_rows", [(2, 3, 10**6), (0, 1, 10**6), (2, 1, 10)])
-def test_matches_brute_force(spark, depth, min_leaf, hot_rows):
+@pytest.mark.parametrize("depth, min_leaf, sample", [(2, 3, 10**6), (0, 1, 10**6), (2, 1, 2)])
+def test_matches_brute_force(spark, depth, min_leaf, sample):
     rng = random.Random(depth * 10 + min_leaf)
     rows = [([float(rng.randint(0, 4)), float(rng.randint(0, 9)), float(rng.randint(0, 1))], rng.randint(0, 2)) for _ in range(50)]
-    tree = T.fit(spark.createDataFrame(rows, SHAPE).repartition(5), 3, depth, min_leaf, hot_rows=hot_rows)
+    tree = T.fit(spark.createDataFrame(rows, SHAPE).repartition(5), 3, depth, min_leaf, sample=sample)
     assert key(T.node_rows(tree, [0, 1, 2])) == key(brute(rows, 3, depth, min_leaf))
 
 
@@ -101,3 +101,12 @@ def test_holdout_has_the_exact_size(spark, fraction):
 def test_parameters_are_checked(bad):
     with pytest.raises(ValueError):
         R.MineParams(**bad).validate()
+
+
+def test_cut_equals_a_shallower_fit(spark):
+    rng = random.Random(11)
+    rows = [([float(rng.randint(0, 5)), float(rng.randint(0, 5))], rng.randint(0, 2)) for _ in range(90)]
+    df = spark.createDataFrame(rows, SHAPE)
+    whole = T.fit(df, 3, 0, 2)
+    for depth in (0, 1, 2, 3, 50):
+        assert key(T.node_rows(T.cut(whole, depth), [0, 1])) == key(T.node_rows(T.fit(df, 3, depth, 2), [0, 1]))
