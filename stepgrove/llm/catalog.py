@@ -1,7 +1,5 @@
 """Registered queries of this subpackage, and helpers that several operators share."""
 
-from functools import reduce
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -56,13 +54,3 @@ def located(df, column):
         return df.select("*", place)
     except AnalysisException:
         return materialize(df).select("*", place)
-
-
-def drop_table(spark, path):
-    """Delete a table of the shared folder that nothing reads any more."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def union_all(frames):
-    return reduce(lambda a, b: a.unionByName(b), frames)

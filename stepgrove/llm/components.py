@@ -2,9 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stepgrove.session import store
-
-from .catalog import drop_table
+from stepgrove.session import drop_table, store
 
 
 def _stars(edges):

@@ -182,7 +182,43 @@ def quality(docs, id="doc_id", text="text", lang="lang"):
     return judge(rows, references(rows)).withColumnRenamed("id", id)
 
 
-@query("op6_quality_rules")
+def _sql():
+    vocabulary = sorted({w for some in COMMON.values() for w in some})
+    forms = sorted({f for w in vocabulary for f in (w, w.capitalize(), w.upper())})
+    places = " ".join(f"WHEN '{k}' THEN {[vocabulary.index(w) + 1 for w in v]}" for k, v in COMMON.items())
+    classes = ", ".join(f"length(regexp_replace(t, '{p}', '', 'g'))" for p in CLASSES)
+    term = "(CASE WHEN p[i] > 0 THEN p[i] * log2(p[i] / ((p[i] + q[i]) / 2)) ELSE 0 END + CASE WHEN q[i] > 0 THEN q[i] * log2(q[i] / ((p[i] + q[i]) / 2)) ELSE 0 END) / 2"
+    distance = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(range(1, len({q}) + 1), lambda i: {term.replace('p[i]', p + '[i]').replace('q[i]', q + '[i]')}))))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+windows AS (SELECT r, i, ws[i:i + {WINDOW - 1}] AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+covered AS (SELECT r, sum(least({WINDOW}, coalesce(next - i, {WINDOW}))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM twice) GROUP BY r),
+m AS (SELECT r, doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(n, 0)::BIGINT AS n_repeat_words, length(t) AS n_points, [{classes}, length(t) - length(array_to_string(ws, ''))] AS classes,
+  list_transform({vocabulary}, lambda v: len(list_filter(ws, lambda x: list_contains({forms}, x) AND lower(x) = v))) AS common
+  FROM w LEFT JOIN covered USING (r)),
+sums AS (SELECT lang, sum(n_words)::DOUBLE AS nw, sum(n_points)::DOUBLE AS np, [{", ".join(f"sum(classes[{i + 1}])::DOUBLE" for i in range(len(CLASSES) + 1))}] AS cs,
+  [{", ".join(f"sum(common[{i + 1}])::DOUBLE" for i in range(len(vocabulary)))}] AS ws, coalesce(CASE lang {places} END, []::INTEGER[]) AS spots
+  FROM m WHERE lang IS NOT NULL AND n_words > 0 GROUP BY lang),
+refs AS (SELECT lang, spots, list_transform(list_append(cs, np - list_sum(cs)), lambda x: x / np) AS qc,
+  list_transform(list_append(list_transform(spots, lambda j: ws[j]), nw - coalesce(list_sum(list_transform(spots, lambda j: ws[j])), 0)), lambda x: x / nw) AS qw FROM sums),
+pairs AS (SELECT r, refs.lang, qc, qw, list_transform(range(1, len(qw) + 1), lambda i: CASE WHEN i = len(qw) THEN 1.0 ELSE 0.0 END) AS none,
+  list_transform(list_append(classes, n_points - list_sum(classes)), lambda x: x / n_points) AS pc,
+  list_transform(list_append(list_transform(spots, lambda j: common[j]), n_words - coalesce(list_sum(list_transform(spots, lambda j: common[j])), 0)), lambda x: x / n_words) AS pw
+  FROM m, refs WHERE n_words >= {min(CLASSES_GUARD, COMMON_GUARD)}),
+far AS (SELECT r, lang, {distance("pc", "qc")} AS dc, CASE WHEN qw[len(qw)] = 1 THEN 0.0 ELSE {distance("pw", "qw")} / {distance("none", "qw")} END AS dw FROM pairs),
+best AS (SELECT r, dc, dw FROM far QUALIFY row_number() OVER (PARTITION BY r ORDER BY dc / {MOST_CLASSES}::DOUBLE + dw / {MOST_COMMON}::DOUBLE, lang) = 1),
+verdict AS (SELECT m.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+  coalesce((n_words >= {CLASSES_GUARD} AND dc > {MOST_CLASSES}) OR (n_words >= {COMMON_GUARD} AND dw > {MOST_COMMON}), false) AS apart FROM m LEFT JOIN best USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT apart AS kept FROM verdict
+"""
+
+
+@query("op6_quality_rules", _sql())
 def op6_quality_rules(spark, folder):
     found = quality(table(spark, folder, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

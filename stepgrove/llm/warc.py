@@ -14,9 +14,9 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stepgrove.session import checkpoint_folder, materialize, store
+from stepgrove.session import checkpoint_folder, drop_table, materialize, store
 
-from .catalog import drop_table, located, query, table
+from .catalog import located, query, table
 
 MAGIC = "WARC/1.1\r\n"
 GAP = "\r\n\r\n"
