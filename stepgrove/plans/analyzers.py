@@ -14,6 +14,7 @@ from ..operators import summary as S
 from ..operators import usage as U
 from ..operators.features import Vocabulary
 from ..session import materialize
+from ..sources.runs import write_results
 
 
 @dataclass
@@ -173,3 +174,9 @@ def analyze(inputs, names=("summary",), options=None, registry=None):
             raise ValueError(f"analyzer `{name}` requires annotations")
         results.tables[name] = registry[name].run(inputs, options, results)
     return results
+
+
+def analyze_run(path, run_id, inputs, names=("summary",), options=None, registry=None):
+    """:func:`analyze`, with every output and the manifest written below ``path``; returns (results, rows by output)."""
+    results = analyze(inputs, names, options, registry)
+    return results, write_results(path, run_id, results.tables)

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from . import schemas
 from .records import require_version, write_table
 
-TABLES = ("sequences", "steps", "annotations", "dataset", "rules", "evidence", "concepts", "evaluation", "metrics")
-
-
 @dataclass
 class Run:
     """Tables of a stored run; ``annotations`` is None until it has been written."""
@@ -65,10 +62,51 @@ def load_run(spark, path, run_id, game):
     for name, df in (("sequences", run.sequences), ("steps", run.steps)):
         if "schema_version" in df.columns:
             require_version(df, f"{path}/{name}")
-    run.annotations = read_or_none(spark, f"{path}/annotations")
+    run.annotations = read_annotations(spark, path, run_id, game)
     return run
 
 
-def write_output(df, path, name, mode="overwrite"):
-    """Write one analyzer output below the run."""
-    return write_table(df, f"{path}/{name}", mode)
+def write_annotations(path, run_id, game, mode, annotations):
+    """Write the annotation set of a run, with a manifest row naming the game and the mode it was made for."""
+    columns = [c for c in annotations.columns if c != "run_id"]
+    n = write_table(annotations.select(*columns, F.lit(run_id).alias("run_id")), f"{path}/annotations", "overwrite", ["run_id"])
+    row = (schemas.SCHEMA_VERSION, run_id, game, mode, n)
+    write_table(annotations.sparkSession.createDataFrame([row], schemas.ANNOTATION_SET), f"{path}/annotation_set", "overwrite", ["run_id"])
+    return n
+
+
+def read_annotations(spark, path, run_id, game, mode=None):
+    """The annotation set of a run, None if there is none; another game, mode or schema version is an error."""
+    manifest = read_or_none(spark, f"{path}/annotation_set", schemas.ANNOTATION_SET)
+    rows = manifest.filter(F.col("run_id") == run_id).collect() if manifest is not None else []
+    if not rows:
+        return None
+    found = rows[0]
+    if found["schema_version"] != schemas.SCHEMA_VERSION:
+        raise ValueError(f"{path}/annotation_set: schema_version {found['schema_version']} is not supported")
+    if found["game"] != game:
+        raise ValueError(f"annotations at {path} belong to `{found['game']}`, not `{game}`")
+    if mode is not None and found["mode"] != mode:
+        raise ValueError(f"annotations at {path} are `{found['mode']}`, not `{mode}`")
+    return spark.read.parquet(f"{path}/annotations").filter(F.col("run_id") == run_id)
+
+
+def write_results(path, run_id, tables):
+    """Write the outputs of an analysis below the run, one table each, and a manifest row per output with its rows.
+
+    Writing the same run again replaces its outputs.
+    """
+    totals = {}
+    for name, df in tables.items():
+        columns = [c for c in df.columns if c != "run_id"]
+        totals[name] = write_table(df.select(*columns, F.lit(run_id).alias("run_id")), f"{path}/{name}", "overwrite", ["run_id"])
+    rows = [(schemas.SCHEMA_VERSION, run_id, name, n) for name, n in totals.items()]
+    if rows:
+        spark = next(iter(tables.values())).sparkSession
+        write_table(spark.createDataFrame(rows, schemas.OUTPUT), f"{path}/analyze", "overwrite", ["run_id"])
+    return totals
+
+
+def read_manifest(spark, path, run_id):
+    """The outputs of an analysis and their rows, as the manifest has them."""
+    return spark.read.schema(schemas.OUTPUT).parquet(f"{path}/analyze").filter(F.col("run_id") == run_id)

@@ -41,6 +41,10 @@ RUN = (
     "schema_version INT, run_id STRING, game STRING, sequences BIGINT, steps BIGINT"
 )
 
+ANNOTATION_SET = "schema_version INT, run_id STRING, game STRING, mode STRING, rows BIGINT"
+
+OUTPUT = "schema_version INT, run_id STRING, output STRING, rows BIGINT"
+
 CONTESTS = (
     "candidate STRING, opponent STRING, seat INT, game_index BIGINT, player STRING, winner STRING, "
     "finished BOOLEAN, plies BIGINT"

@@ -78,6 +78,17 @@ def test_run_directory(spark, tmp_path, games):
         runs.load_run(spark, path, "r1", "other")
 
 
+def test_annotation_sets_are_checked(spark, tmp_path):
+    path, rows = str(tmp_path / "run"), spark.createDataFrame([("s", 1)], "state string, value int")
+    assert runs.read_annotations(spark, path, "r1", "board") is None
+    runs.write_annotations(path, "r1", "board", "full", rows)
+    assert runs.write_annotations(path, "r1", "board", "full", rows) == 1
+    assert runs.read_annotations(spark, path, "r1", "board", "full").count() == 1
+    for game, mode in (("other", None), ("board", "sampled")):
+        with pytest.raises(ValueError, match="annotations at"):
+            runs.read_annotations(spark, path, "r1", game, mode)
+
+
 ENTRY = ("ord bigint, entry_id string, name string, kind string, depth int, epsilon double, tie_break string, rules array<string>, "
          f"provenance {schemas.PROVENANCE}, sample_id string, signature array<string>")
 
