@@ -45,10 +45,14 @@ def plan_records(pages, id="page_id", url="url", html="html", least=LEAST_BYTES)
     in place order. Null payloads are empty.
     """
     plain = pages.select(F.col(id).cast("bigint").alias("id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("payload"))
-    rows = located(plain, "place").withColumn("same", F.sha2(F.col("payload").cast("binary"), 256))
-    first = rows.groupBy("same").agg(F.max(F.struct("id", "place")).alias("first"))
-    revisits = (F.octet_length("payload") >= least) & (F.col("place") != F.col("first.place"))
-    return rows.join(first, "same").select("id", "url", "payload", "place", F.when(revisits, F.col("first.place")).alias("refers_place"))
+    rows = located(plain, "place")
+    keyed = rows.filter(F.octet_length("payload") >= least).select("id", "place", F.sha2(F.col("payload").cast("binary"), 256).alias("same"))
+    # Stored, so that their sizes are known: the payloads themselves only move if the repeats are many.
+    first = keyed.groupBy("same").agg(F.max(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first.filter("n > 1").select("same", "first"))
+    again = keyed.join(first, "same").filter("place <> first.place")
+    again = materialize(again.select("place", F.col("first.place").alias("refers_place")))
+    return rows.join(again, "place", "left")
 
 
 def _uuid(place):
