@@ -4,6 +4,7 @@
 an event log is never gathered into one row: its length, outcome and identity are plain aggregates.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import opening_length, step_source
@@ -33,22 +34,29 @@ def sequence_fingerprint(ply, action):
     )
 
 
-def sequence_summary(steps, order=("ply",), **extra):
+def sequence_summary(steps, order=("ply",), fingerprint=True, **extra):
     """One row per sequence: length, first and last action, fingerprint of the whole action list.
 
     ``order`` names columns that order the steps of a sequence; with the order columns of the source the
-    step number is only computed when the fingerprint is read. ``extra`` adds aggregates by name.
+    step number is only needed by the ``fingerprint``. ``extra`` adds aggregates by name.
     """
     at = F.struct(*order)
     return steps.groupBy("seq_id").agg(
         F.count(F.lit(1)).alias("length"),
         F.min_by("action", at).alias("first_action"),
         F.max_by("action", at).alias("last_action"),
-        sequence_fingerprint(F.col("ply"), F.col("action")).alias("fingerprint"),
+        *([sequence_fingerprint(F.col("ply"), F.col("action")).alias("fingerprint")] if fingerprint else []),
         *[column.alias(name) for name, column in extra.items()],
     )
 
 
+def nth_action(steps, n, order, name):
+    """The ``n``-th action (from 1) of every sequence that has one. Tasks pass on ``n`` rows per sequence at most."""
+    rank = F.row_number().over(Window.partitionBy("seq_id").orderBy(*order))
+    first = steps.select("seq_id", F.col("action").alias(name), *order).withColumn("_rank", rank).filter(F.col("_rank") <= n)
+    return first.filter(F.col("_rank") == n).select("seq_id", name)
+
+
 def attach_sequences(steps, sequences, columns):
     """Repeat sequence-level columns on every step."""
     return steps.join(sequences.select("seq_id", *columns), "seq_id")

@@ -30,12 +30,22 @@ def event_steps(spark, folder, keep=()):
     return C.number_steps(table(spark, folder, "events"), "user_id", ["ts", "event_id"], "event_type", keep)
 
 
+def event_rows(spark, folder):
+    """The events as steps without their number."""
+    events = table(spark, folder, "events")
+    return events.select(F.col("user_id").alias("seq_id"), F.col("event_type").alias("action"), "ts", "event_id")
+
+
 def event_sequences(steps):
-    """One row per user: a purchase at the end wins for the seat that made it, an error draws."""
-    second = F.max(F.when(F.col("ply") == 1, F.col("action")))
+    """One row per user: a purchase at the end wins for the seat that made it, an error draws.
+
+    Steps without a number give no fingerprint; the rest is the same and needs no ordering of whole sequences.
+    """
+    order = ("ts", "event_id")
     last = F.col("last_action")
     return (
-        C.sequence_summary(steps, ("ts", "event_id"), second_action=second)
+        C.sequence_summary(steps, order, "ply" in steps.columns)
+        .join(C.nth_action(steps, 2, order, "second_action"), "seq_id", "left")
         .withColumn("result", F.when(last == "purchase", "win").when(last == "error", "draw").otherwise("unfinished"))
         .withColumn("winner", F.when(last == "purchase", seat_player(F.col("length") - 1)))
         .withColumn("strategies", F.array("first_action", "second_action"))
@@ -44,8 +54,7 @@ def event_sequences(steps):
 
 
 def event_corpus(spark, folder):
-    steps = event_steps(spark, folder)
-    return Corpus(steps, event_sequences(steps))
+    return Corpus(event_steps(spark, folder), event_sequences(event_rows(spark, folder)))
 
 
 def windows(steps, size):

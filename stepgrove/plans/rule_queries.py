@@ -324,11 +324,12 @@ INDUCE = I.InductionParams(rounds=1, max_thresholds=3, beam=6, top_k=25, min_tra
 def induction_rows(spark, folder):
     docs = labelled_documents(spark, folder)
     as_number = lambda n, k: F.col(n).cast("int").cast("double") if k == "bool" else F.col(n).cast("double")
-    held = R.holdout_condition(docs, F.col("doc_id"), INDUCE.seed, INDUCE.holdout_fraction)
-    return materialize(docs.select(
-        F.array(*[as_number(f.name, f.kind) for f in DOC_FEATURES]).alias("values"),
-        F.col("toxic").alias("target"), F.col("quality").alias("label"), held.alias("held"),
+    stored = materialize(docs.select(
+        "doc_id", F.array(*[as_number(f.name, f.kind) for f in DOC_FEATURES]).alias("values"),
+        F.col("toxic").alias("target"), F.col("quality").alias("label"),
     ))
+    held = R.holdout_condition(stored, F.col("doc_id"), INDUCE.seed, INDUCE.holdout_fraction)
+    return stored.withColumn("held", held)
 
 
 ENUMERATE_SQL = f"""WITH {DOC_SQL},

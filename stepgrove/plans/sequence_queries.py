@@ -8,6 +8,7 @@ from ..operators import agreement as A
 from ..operators import corpus as C
 from ..operators import summary as S
 from ..operators.ordering import ordinal
+from ..session import materialize
 from .catalog import joined, query, r9, table
 from .corpora import SYMBOLS, TALLY_SQL, STEPS_SQL, event_corpus, event_sequences, event_steps, seat_player, windows
 
@@ -108,11 +109,11 @@ shaped AS (SELECT {STATE_SQL} AS state, array_to_string(list_sort({ROTATIONS_SQL
 
 
 def states_of(spark, folder):
+    """Steps with the state before each of them, stored since several summaries read them; final states."""
     group = cyclic_group(len(SYMBOLS))
-    steps = step_states(spark, folder)
-    final = C.final_states(steps, SYMBOLS)
     canonical = canonical_form(F.col("state"), group)["image"]
-    return steps.withColumn("canonical_state", canonical), final.withColumn("canonical_state", canonical)
+    steps = materialize(step_states(spark, folder).withColumn("canonical_state", canonical))
+    return steps, C.final_states(steps, SYMBOLS).withColumn("canonical_state", canonical)
 
 
 @query("distinct_states", f"""WITH {STEPS_SQL}, {PREFIX_SQL}, {STATES_SQL}
