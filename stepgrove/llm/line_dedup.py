@@ -8,6 +8,8 @@ DataFrame functions only.
 
 from pyspark.sql import functions as F
 
+from stepgrove.session import materialize
+
 from .catalog import query, table
 
 #: A line goes when it stands on more than this share of its host's pages, in hosts of at least so many pages.
@@ -61,7 +63,8 @@ def drop_lines(pages, id, host, text, ratio=RATIO, least=LEAST_PAGES):
     Null and empty texts have no lines and count as pages. Repeated rows are pages each; other columns play no part.
     """
     rows = pages.select(F.col(id).alias("id"), host.alias("host"), lines_of(text).alias("lines"))
-    joined = rows.join(boilerplate(rows, ratio, least), "host", "left")
+    # Stored, so that the join has a table of known size beside the pages and may split a hot host.
+    joined = rows.join(materialize(boilerplate(rows, ratio, least)), "host", "left")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.coalesce("marks", F.array().cast("array<struct<h:bigint,g:bigint>>")), _mark(x)))
     return joined.select("id", "host", "host_pages", F.size("lines").alias("n_lines"), kept.alias("kept")).select(
         F.col("id").alias(id), "host", F.col("host_pages").cast("bigint").alias("host_pages"), F.col("n_lines").cast("bigint").alias("n_lines"),
