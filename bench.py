@@ -20,6 +20,7 @@ HEADLINE = [
     "prefix_state", "agreement_report", "label_dataset", "cart_root_split", "cart_depth2", "leaf_evidence",
     "holdout_split", "rule_list_apply", "concept_shortlist", "tally_rollup", "headline_vs_reference",
     "stride_signature", "novelty_nearest", "archive_append", "graph_reach", "vocab_usage",
+    "mined_rules", "backward_induction",
 ]
 
 

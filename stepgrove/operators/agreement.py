@@ -46,6 +46,14 @@ def require_coverage(steps, annotations, state="state"):
         raise ValueError("annotations do not cover every step; annotate the corpus again")
 
 
+def usual_moves(moves):
+    """The most frequent actions of every state, ties kept, as a label table. A state has one row per distinct action."""
+    counted = moves.groupBy("state", "action").agg(F.count(F.lit(1)).alias("n"))
+    gathered = counted.groupBy("state").agg(F.max("n").alias("top"), F.collect_list(F.struct("action", "n")).alias("a"))
+    best = F.filter("a", lambda x: x["n"] == F.col("top"))
+    return gathered.select("state", F.array_sort(F.transform(best, lambda x: x["action"])).alias("optimal"))
+
+
 def judged_counts(steps, annotations, by, state="state", carry=()):
     """Steps ⋈ annotations, counted per ``by``. Steps are pre-aggregated on (state, action, by), so the
     join sees each combination once however hot its state is."""

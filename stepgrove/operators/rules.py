@@ -127,34 +127,39 @@ def leaf_evidence(rows, classes, holdout=None):
     Needs ``leaf``, ``label``, ``qualifying``, ``occurrences`` and ``value``.
     """
     held = F.lit(False) if holdout is None else holdout
-    train = ~held
-    names = [*classes, NO_LABEL]
-    sums = []
-    for prefix, part in (("t", train), ("h", held)):
-        sums += [F.count_if(part).alias(f"{prefix}_n")]
-        sums += [F.count_if(part & (F.col("label") == c)).alias(f"{prefix}_l{i}") for i, c in enumerate(names)]
-        sums += [F.count_if(part & F.array_contains("qualifying", c)).alias(f"{prefix}_q{i}") for i, c in enumerate(classes)]
-    sums.append(F.sum(F.when(train, F.col("occurrences")).otherwise(0)).alias("occurrences"))
-    for name, v in (("win", 1), ("draw", 0), ("loss", -1)):
-        sums.append(F.count_if(train & (F.col("value") == v)).alias(name))
-    counted = rows.groupBy("leaf").agg(*sums)
-
-    ranked = [F.struct((-F.col(f"t_q{i}")).alias("n"), F.lit(i).alias("i")) for i in range(len(classes))]
-    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(len(classes)).alias("i"))
-    best = F.array_min(F.array(*ranked, none))
-    index = F.when(best["n"] < 0, best["i"]).otherwise(F.lit(len(classes)))
-    pick = lambda p, k, n: F.element_at(F.array(*[F.col(f"{p}_{k}{i}") for i in range(n)], F.lit(0).cast("bigint")), F.col("_i") + 1)
-    out = counted.withColumn("_i", index)
-    return out.select(
-        "leaf",
-        F.element_at(F.array(*[F.lit(c) for c in names]), F.col("_i") + 1).alias("class"),
-        F.col("t_n").alias("support"),
-        pick("t", "q", len(classes)).alias("sound"),
-        pick("t", "l", len(names)).alias("label_matches"),
-        "occurrences", "win", "draw", "loss",
-        F.col("h_n").alias("holdout_rows"),
-        pick("h", "l", len(names)).alias("holdout_correct"),
-        pick("h", "q", len(classes)).alias("holdout_sound"),
+    part = rows.select("*", held.alias("_held"))
+    train = ~F.col("_held")
+    totals = part.groupBy("leaf").agg(
+        F.count_if(train).alias("support"),
+        F.sum(F.when(train, F.col("occurrences")).otherwise(0)).alias("occurrences"),
+        *[F.count_if(train & (F.col("value") == v)).alias(n) for n, v in (("win", 1), ("draw", 0), ("loss", -1))],
+        F.count_if("_held").alias("holdout_rows"),
+    )
+    # One row per (leaf, class): how many rows it qualifies for, and of how many it is the label.
+    entry = lambda name, kind: F.struct(name.alias("class"), F.lit(kind).alias("kind"))
+    entries = F.concat(F.transform("qualifying", lambda c: entry(c, "sound")), F.array(entry(F.col("label"), "label")))
+    told = part.select("leaf", "_held", F.explode(entries).alias("e")).select("leaf", "_held", "e.*")
+    of = lambda kind, side: F.count_if((F.col("kind") == kind) & side)
+    counted = told.groupBy("leaf", "class").agg(
+        of("sound", train).alias("sound"), of("label", train).alias("label_matches"),
+        of("sound", F.col("_held")).alias("holdout_sound"), of("label", F.col("_held")).alias("holdout_correct"),
+    )
+    names = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<string>")
+    place = F.array_position(names, F.col("class"))
+    figures = F.struct("class", "sound", "label_matches", "holdout_sound", "holdout_correct")
+    ranked = F.when((place > 0) & (F.col("sound") > 0), F.struct((-F.col("sound")).alias("n"), place.alias("i"), figures.alias("f")))
+    zero = F.lit(0).cast("bigint")
+    best = counted.groupBy("leaf").agg(
+        F.min(ranked).alias("best"),
+        *[F.max(F.when(F.col("class") == NO_LABEL, F.col(c))).alias(f"_none_{c}") for c in ("label_matches", "holdout_correct")],
+    )
+    some = F.col("best").isNotNull()
+    pick = lambda c, other=zero: F.when(some, F.col(f"best.f.{c}")).otherwise(other)
+    none = lambda c: pick(c, F.coalesce(F.col(f"_none_{c}"), zero))
+    return totals.join(best, "leaf", "left").select(
+        "leaf", pick("class", F.lit(NO_LABEL)).alias("class"), "support", pick("sound").alias("sound"),
+        none("label_matches").alias("label_matches"), "occurrences", "win", "draw", "loss", "holdout_rows",
+        none("holdout_correct").alias("holdout_correct"), pick("holdout_sound").alias("holdout_sound"),
     ).withColumn("soundness", ratio("sound", "support"))
 
 

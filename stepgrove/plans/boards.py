@@ -7,11 +7,10 @@ from ..operators import dataset as D
 from ..operators.features import Feature, Vocabulary, occupancy_features, realizable
 from .corpora import PLAYERS, event_steps
 
-# Generators of the board symmetry, the win lines and the position orbits.
+# Generators of the board symmetry and the win lines.
 ROTATION = [2, 5, 8, 1, 4, 7, 0, 3, 6]
 REFLECTION = [2, 1, 0, 5, 4, 3, 8, 7, 6]
 LINES = [[0, 1, 2], [3, 4, 5], [6, 7, 8], [0, 3, 6], [1, 4, 7], [2, 5, 8], [0, 4, 8], [2, 4, 6]]
-ORBITS = [[0, 2, 6, 8], [1, 3, 5, 7], [4]]
 
 
 def closed_group():
@@ -28,6 +27,9 @@ def closed_group():
 
 
 GROUP = closed_group()
+#: Positions that the symmetries carry into each other, by least position.
+ORBITS = sorted({tuple(sorted({g[p] for g in GROUP})) for p in range(9)})
+ORBITS = [list(o) for o in ORBITS]
 
 
 def board_code(cells):

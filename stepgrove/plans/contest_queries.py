@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sets
 from ..functions.scalars import content_id
+from ..operators import agreement as A
 from ..operators import archive as N
 from ..operators import contest as K
 from ..operators import design as D
@@ -72,6 +73,23 @@ def headline_vs_reference(spark, folder):
     return _rounded(K.headline(K.tally_rollup(contests(spark, folder)), "NATION_7"))
 
 
+USUAL_SQL = f"""{HEADLINE_SQL}, a AS (SELECT c_mktsegment AS candidate, o_orderpriority AS state, o_orderstatus AS action
+  FROM orders JOIN customer ON c_custkey = o_custkey),
+u AS (SELECT state, list(action) AS optimal FROM (SELECT state, action, rank() OVER (PARTITION BY state ORDER BY count(*) DESC) AS r FROM a GROUP BY 1, 2) WHERE r = 1 GROUP BY 1),
+g AS (SELECT candidate, round(count(*) FILTER (list_contains(optimal, action)) / count(*), 9) AS agreement_rate FROM a JOIN u USING (state) GROUP BY 1)"""
+
+
+@query("headline_with_agreement", USUAL_SQL + " SELECT h.*, agreement_rate FROM h LEFT JOIN g USING (candidate)")
+def headline_with_agreement(spark, folder):
+    """Headlines beside the share of a segment's orders that have the usual status of their priority."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("state"), F.col("o_orderstatus").alias("action")
+    )
+    moves = orders.join(table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("candidate")), "c_custkey")
+    agreed = A.agreement(moves, A.usual_moves(moves), ["candidate"]).withColumnRenamed("rate", "agreement_rate")
+    return _rounded(K.headline(K.tally_rollup(contests(spark, folder)), "NATION_7", agreed))
+
+
 @query("strict_failures", HEADLINE_SQL + """ SELECT candidate, loss_rate_vs_reference, 0.15::DOUBLE AS max_loss_rate
 FROM h WHERE loss_rate_vs_reference > 0.15""")
 def strict_failures(spark, folder):

@@ -74,17 +74,9 @@ def next_moves(spark, folder):
     )
 
 
-def usual_moves(moves):
-    """The most frequent actions of every state, ties kept. A state has at most one row per action."""
-    counted = moves.groupBy("state", "action").agg(F.count(F.lit(1)).alias("n"))
-    gathered = counted.groupBy("state").agg(F.max("n").alias("top"), F.collect_list(F.struct("action", "n")).alias("a"))
-    best = F.filter("a", lambda x: x["n"] == F.col("top"))
-    return gathered.select("state", F.array_sort(F.transform(best, lambda x: x["action"])).alias("optimal"))
-
-
 @query("argmax_actions", f"WITH {STEPS_SQL}, {WINDOW4_SQL} SELECT state, array_to_string(optimal, ',') AS optimal FROM best")
 def argmax_actions(spark, folder):
-    return usual_moves(next_moves(spark, folder)).withColumn("optimal", joined("optimal"))
+    return A.usual_moves(next_moves(spark, folder)).withColumn("optimal", joined("optimal"))
 
 
 @query("agreement_report", f"""WITH {STEPS_SQL}, {WINDOW4_SQL},
@@ -94,7 +86,7 @@ SELECT CASE WHEN grouping(chosen_by) = 0 THEN 'chosen_by' WHEN grouping(ply) = 0
        {RATE_SQL} FROM j GROUP BY GROUPING SETS ((chosen_by), (ply), ())""")
 def agreement_report(spark, folder):
     moves = next_moves(spark, folder)
-    found = A.agreement_report(moves, usual_moves(moves), ("chosen_by", "ply"))
+    found = A.agreement_report(moves, A.usual_moves(moves), ("chosen_by", "ply"))
     return found.withColumn("rate", r9("rate"))
 
 
@@ -215,6 +207,32 @@ def set_algebra(spark, folder):
     )
 
 
+KINDS = {"browse": (["click", "view"], "primitive"), "trouble": (["error"], "supplied"), "money": (["purchase", "signup"], "invented"), "all": (["click", "error", "purchase", "signup", "view"], "primitive")}
+KINDS_SQL = ", ".join(
+    f"{{'rank': {-['primitive', 'supplied', 'invented'].index(t)}, 'idx': {i}, 'name': '{n}', 'inside': list_filter(legal, lambda x: list_contains({m}, x))}}"
+    for i, (n, (m, t)) in enumerate(KINDS.items())
+)
+
+
+@query("qualify_label", f"""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value >= 5 GROUP BY 1, 2),
+s AS (SELECT user_id, list_sort(list(event_type)) AS legal, list(event_type) FILTER (2 * n >= top) AS optimal FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS top FROM c) GROUP BY 1),
+k AS (SELECT user_id, [{KINDS_SQL}] AS kinds, optimal FROM s),
+q AS (SELECT user_id, list_filter(kinds, lambda k: len(k.inside) > 0 AND len(list_filter(k.inside, lambda x: NOT list_contains(optimal, x))) = 0) AS ok FROM k)
+SELECT user_id, array_to_string(list_transform(ok, lambda k: k.name), ',') AS qualifying,
+  coalesce(list_sort(list_transform(ok, lambda k: {{'rank': k.rank, 'n': len(k.inside), 'i': k.idx, 'name': k.name}}))[1].name, 'none') AS label FROM q""")
+def qualify_label(spark, folder):
+    """Classes of event types per user, in three tiers: the types seen are legal, those at least half as frequent as the top one optimal."""
+    counted = table(spark, folder, "events").filter(F.col("value") >= 5).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    seen = counted.groupBy("user_id").agg(F.max("n").alias("top"), F.collect_list(F.struct("event_type", "n")).alias("a"))
+    names = lambda a: F.array_sort(F.transform(a, lambda x: x["event_type"]))
+    sets_of = {n: F.array(*map(F.lit, m)) for n, (m, _) in KINDS.items()}
+    rows = seen.select(
+        "user_id", names(F.col("a")).alias("legal"), names(F.filter("a", lambda x: 2 * x["n"] >= F.col("top"))).alias("optimal")
+    ).withColumns(sets_of)
+    qualifying, label = D.qualify(list(KINDS), [t for _, t in KINDS.values()])
+    return rows.select("user_id", joined(qualifying).alias("qualifying"), label.alias("label"))
+
+
 FEATURES = B.feature_sql(extended=True)
 _VALUE = {"set": "len({0})", "int": "{0}"}
 

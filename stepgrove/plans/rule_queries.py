@@ -79,18 +79,19 @@ GIVEN = T.Tree([
 ])
 LEAF_SQL = """r AS (SELECT *, CASE WHEN l_quantity <= 24 THEN CASE WHEN l_discount <= 0.05 THEN 3 ELSE 4 END
     ELSE CASE WHEN l_tax <= 0.04 THEN 5 ELSE 6 END END AS leaf,
-  CASE WHEN l_linestatus = 'O' AND l_linenumber = 1 THEN 'none' ELSE l_returnflag END AS label,
-  CASE WHEN l_linestatus = 'O' THEN list_distinct([l_returnflag, 'N']) ELSE [l_returnflag] END AS qualifying,
+  CASE WHEN l_quantity > 24 AND l_tax > 0.04 OR l_linestatus = 'O' AND l_linenumber = 1 THEN 'none' ELSE l_returnflag END AS label,
+  CASE WHEN l_quantity > 24 AND l_tax > 0.04 THEN [] WHEN l_linestatus = 'O' THEN list_distinct([l_returnflag, 'N']) ELSE [l_returnflag] END AS qualifying,
   l_linenumber AS occurrences, l_linenumber % 3 - 1 AS value, l_tax >= 0.07 AS held FROM lineitem)"""
 
 
 def routed_items(spark, folder):
     items = table(spark, folder, "lineitem")
     open_line = F.col("l_linestatus") == "O"
+    nothing = (F.col("l_quantity") > 24) & (F.col("l_tax") > 0.04)  # a leaf without a qualifying class
     return items.select(
         GIVEN.route(F.array(*[F.col(c).cast("double") for c in ITEM_COLUMNS])).alias("leaf"),
-        F.when(open_line & (F.col("l_linenumber") == 1), "none").otherwise(F.col("l_returnflag")).alias("label"),
-        F.when(open_line, F.array_distinct(F.array("l_returnflag", F.lit("N")))).otherwise(F.array("l_returnflag")).alias("qualifying"),
+        F.when(nothing | open_line & (F.col("l_linenumber") == 1), "none").otherwise(F.col("l_returnflag")).alias("label"),
+        F.when(nothing, F.array().cast("array<string>")).when(open_line, F.array_distinct(F.array("l_returnflag", F.lit("N")))).otherwise(F.array("l_returnflag")).alias("qualifying"),
         F.col("l_linenumber").cast("bigint").alias("occurrences"),
         (F.col("l_linenumber") % 3 - 1).alias("value"), (F.col("l_tax") >= 0.07).alias("held"),
     )
@@ -98,12 +99,12 @@ def routed_items(spark, folder):
 
 LEAF_CLASS_SQL = """x AS (SELECT leaf, q, count(*) AS n FROM (SELECT leaf, unnest(qualifying) AS q FROM r WHERE NOT held) GROUP BY 1, 2),
 cls AS (SELECT leaf, q AS class, n AS sound FROM x QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY n DESC, list_position(['A','N','R'], q)) = 1),
-ev AS (SELECT r.leaf, class, count(*) FILTER (NOT held) AS support, any_value(sound) AS sound,
-  count(*) FILTER (NOT held AND label = class) AS label_matches, CAST(sum(occurrences) FILTER (NOT held) AS BIGINT) AS occurrences,
+ev AS (SELECT r.leaf, coalesce(class, 'none') AS class, count(*) FILTER (NOT held) AS support, coalesce(any_value(sound), 0) AS sound,
+  count(*) FILTER (NOT held AND label = coalesce(class, 'none')) AS label_matches, CAST(sum(occurrences) FILTER (NOT held) AS BIGINT) AS occurrences,
   count(*) FILTER (NOT held AND value = 1) AS win, count(*) FILTER (NOT held AND value = 0) AS draw, count(*) FILTER (NOT held AND value = -1) AS loss,
-  count(*) FILTER (held) AS holdout_rows, count(*) FILTER (held AND label = class) AS holdout_correct,
+  count(*) FILTER (held) AS holdout_rows, count(*) FILTER (held AND label = coalesce(class, 'none')) AS holdout_correct,
   count(*) FILTER (held AND list_contains(qualifying, class)) AS holdout_sound
-  FROM r JOIN cls USING (leaf) GROUP BY 1, 2)"""
+  FROM r LEFT JOIN cls USING (leaf) GROUP BY 1, 2)"""
 
 
 @query("leaf_evidence", f"""WITH {LEAF_SQL}, {LEAF_CLASS_SQL}
@@ -114,10 +115,10 @@ def leaf_evidence(spark, folder):
 
 
 @query("list_scores", f"""WITH {LEAF_SQL}, {LEAF_CLASS_SQL}
-SELECT count(*) AS rules, count(*) AS leaves, CAST(sum(support) AS BIGINT) AS train_rows, CAST(sum(holdout_rows) AS BIGINT) AS holdout_rows,
+SELECT count(*) FILTER (class <> 'none') AS rules, count(*) AS leaves, CAST(sum(support) AS BIGINT) AS train_rows, CAST(sum(holdout_rows) AS BIGINT) AS holdout_rows,
   round(sum(label_matches) / sum(support), 9) AS train_accuracy, round(sum(sound) / sum(support), 9) AS train_soundness,
   round(sum(holdout_correct) / sum(holdout_rows), 9) AS holdout_accuracy, round(sum(holdout_sound) / sum(holdout_rows), 9) AS holdout_soundness,
-  0::BIGINT AS fallback_rows FROM ev""")
+  CAST(coalesce(sum(support) FILTER (class = 'none'), 0) AS BIGINT) AS fallback_rows FROM ev""")
 def list_scores(spark, folder):
     found = R.scores(R.leaf_evidence(routed_items(spark, folder), FLAGS, F.col("held")))
     rounded = ("train_accuracy", "train_soundness", "holdout_accuracy", "holdout_soundness")

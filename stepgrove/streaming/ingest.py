@@ -3,26 +3,28 @@
 from pyspark.sql import functions as F
 
 from ..operators.corpus import expand_sequences
+from ..sources.records import write_table
+from ..sources.runs import read_or_none
 
 
 def ingest_sequences(spark, source, schema, steps_path, checkpoint, keep=("outcome", "length")):
     """Stream JSON Lines sequences into a steps table, each sequence once.
 
-    The schema is explicit. A batch appends only sequences not stored yet, so a replayed batch or a
-    repeated file adds nothing. Returns the streaming writer; start it with the trigger of choice.
+    The schema is explicit. Steps and the ids stored so far are written per batch, a batch that runs again replaces
+    what it wrote, and only the ids are read to find what is new. Of rows that repeat an id the least one, in column
+    order, is kept. Returns the streaming writer; start it with the trigger of choice.
     """
     incoming = spark.readStream.schema(schema).option("mode", "FAILFAST").json(source)
-
-    def append(batch, _):
-        session = batch.sparkSession
-        fresh = batch.dropDuplicates(["seq_id"])
-        try:
-            stored = session.read.parquet(steps_path).filter(F.col("ply") == 0).select("seq_id")
-            fresh = fresh.join(stored, "seq_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        expand_sequences(fresh, keep).write.mode("append").parquet(steps_path)
+    keys_path = f"{steps_path.rstrip('/')}_ids"
+
+    def append(batch, number):
+        once = batch.groupBy("seq_id").agg(F.min(F.struct(*batch.columns)).alias("r")).select("r.*")
+        known = read_or_none(batch.sparkSession, keys_path)
+        if known is not None:
+            once = once.join(known.filter(F.col("batch") != number).select("seq_id"), "seq_id", "left_anti")
+        tagged = lambda df: df.withColumn("batch", F.lit(number))
+        write_table(tagged(expand_sequences(once, keep)), steps_path, "overwrite", ["batch"])
+        write_table(tagged(once.select("seq_id")), keys_path, "overwrite", ["batch"])
 
     return incoming.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 
