@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepgrove.session import materialize
+
 from .catalog import query, table
 
 #: Least cosine of a header, and of a whole file to be a licence file.
@@ -125,6 +127,8 @@ class Templates:
 
 def segments(text):
     """Runs of neighbouring lines that hold a cue, long ones as overlapping windows of words."""
+    if not CUES.search(text):
+        return
     run = []
     for line in [*text.split("\n"), ""]:
         if line.strip() and CUES.search(line):
@@ -200,7 +204,8 @@ def inherit(found):
         .groupBy("directory")
         .agg(F.max_by(F.struct(F.col("ancestor").alias("granted_by"), "granted"), F.length("ancestor")).alias("grant"))
     )
-    joined = placed.join(nearest, "directory", "left")
+    # Stored, so that the join has a table of known size beside the files and may split a hot directory.
+    joined = placed.join(materialize(nearest), "directory", "left")
     return joined.withColumns({
         "granted_by": F.when(F.col("licence").isNull(), F.col("grant.granted_by")),
         "effective": F.coalesce("licence", "grant.granted"),
@@ -214,7 +219,7 @@ def scan(files, path="path", text="text", carry=(), templates=None):
     several grants in one directory files named like licence files win, then the larger cosine, then the smaller path.
     Repeated rows come out each; ``carry`` names the columns to keep, others play no part.
     """
-    return inherit(own_licences(files, path, text, carry, templates))
+    return inherit(materialize(own_licences(files, path, text, carry, templates)))
 
 
 @query("op5_license_scan")
