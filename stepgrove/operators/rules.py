@@ -127,7 +127,7 @@ def leaf_evidence(rows, classes, holdout=None):
     Needs ``leaf``, ``label``, ``qualifying``, ``occurrences`` and ``value``.
     """
     held = F.lit(False) if holdout is None else holdout
-    part = rows.select("*", held.alias("_held"))
+    part = rows.select("leaf", "label", "qualifying", "occurrences", "value", held.alias("_held"))
     train = ~F.col("_held")
     totals = part.groupBy("leaf").agg(
         F.count_if(train).alias("support"),

@@ -319,7 +319,7 @@ def concept_similarity(spark, folder):
     return I.similarity(labelled_documents(spark, folder), F.col("long"), targets).withColumn("agreement", r9("agreement"))
 
 
-INDUCE = I.InductionParams(rounds=1, max_thresholds=3, beam=6, top_k=25, min_train_gain=0.0005, min_holdout_gain=0.0, holdout_fraction=0.25, seed=5)
+INDUCE = I.InductionParams(rounds=1, beam=16, top_k=25, min_train_gain=0.0005, min_holdout_gain=0.0, compare_atoms=True, seed=5)
 
 
 def induction_rows(spark, folder):
@@ -337,13 +337,14 @@ ENUMERATE_SQL = f"""WITH {DOC_SQL},
 r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '5', doc_id)), doc_id) > n - floor(n * 0.25) AS held
   FROM docs, (SELECT count(*) AS n FROM docs)),
 num AS (SELECT doc_id, held, unnest([0, 1]) AS atom, unnest([size, lines]) AS v FROM r),
-th AS (SELECT atom, t, row_number() OVER (PARTITION BY atom ORDER BY t) AS k FROM (SELECT DISTINCT atom, v AS t FROM num WHERE NOT held) QUALIFY k <= 3),
+th AS (SELECT atom, t, row_number() OVER (PARTITION BY atom ORDER BY t) AS k FROM (SELECT DISTINCT atom, v AS t FROM num WHERE NOT held) QUALIFY k <= {INDUCE.max_thresholds}),
 c1 AS (SELECT row_number() OVER (ORDER BY o1, atom, o2, k) - 1 AS seq, * FROM (
   SELECT 0 AS o1, 0 AS atom, 0 AS o2, 0 AS k, NULL AS t, 'long' AS expr UNION ALL SELECT 0, 1, 0, 0, NULL, 'english'
   UNION ALL SELECT 1, atom, 0, k, t, concat('(', ['size', 'lines'][atom + 1], ' == ', t, ')') FROM th
-  UNION ALL SELECT 1, atom, 1, k, t, concat('(', ['size', 'lines'][atom + 1], ' >= ', t, ')') FROM th WHERE k > 1)),
+  UNION ALL SELECT 1, atom, 1, k, t, concat('(', ['size', 'lines'][atom + 1], ' >= ', t, ')') FROM th WHERE k > 1
+  UNION ALL SELECT 2, 0, 0, 0, NULL, '(size > lines)' UNION ALL SELECT 2, 1, 0, 0, NULL, '(lines > size)')),
 b1 AS (SELECT seq, expr, doc_id, toxic, quality, r.held, CASE WHEN o1 = 0 THEN CASE atom WHEN 0 THEN long ELSE english END
-  WHEN o2 = 0 THEN CASE atom WHEN 0 THEN size ELSE lines END = t ELSE CASE atom WHEN 0 THEN size ELSE lines END >= t END AS bit FROM c1, r),
+  WHEN o1 = 2 THEN CASE atom WHEN 0 THEN size > lines ELSE lines > size END WHEN o2 = 0 THEN CASE atom WHEN 0 THEN size ELSE lines END = t ELSE CASE atom WHEN 0 THEN size ELSE lines END >= t END AS bit FROM c1, r),
 """
 
 
@@ -360,7 +361,7 @@ def _gain_sql(source, out):
 
 ENUMERATE_SQL += _gain_sql("b1", "g1") + """,
 ok1 AS (SELECT * FROM g1 WHERE varies QUALIFY row_number() OVER (PARTITION BY sig ORDER BY seq) = 1),
-beam AS (SELECT *, row_number() OVER (ORDER BY round(train_gain, 12) DESC, seq) - 1 AS i FROM ok1 WHERE train_gain >= 0.0005 AND holdout_gain >= 0 QUALIFY i < 6),
+beam AS (SELECT *, row_number() OVER (ORDER BY round(train_gain, 12) DESC, seq) - 1 AS i FROM ok1 WHERE train_gain >= 0.0005 AND holdout_gain >= 0 QUALIFY i < """ + str(INDUCE.beam) + """),
 pairs AS (SELECT a.seq AS sa, b.seq AS sb, a.expr AS ea, b.expr AS eb, row_number() OVER (ORDER BY a.i, b.i) - 1 AS k FROM beam a JOIN beam b ON a.i < b.i),
 c2 AS (SELECT (SELECT count(*) FROM c1) + i AS seq, seq AS sa, seq AS sb, 'not' AS op, concat('(not ', expr, ')') AS expr FROM beam
   UNION ALL SELECT (SELECT count(*) FROM c1) + (SELECT count(*) FROM beam) + 2 * k, sa, sb, 'and', concat('(', ea, ' and ', eb, ')') FROM pairs
@@ -452,7 +453,7 @@ def mined_rules(spark, folder):
 def induced_concepts(spark, folder):
     """Concepts proposed for the board dataset with the outcome of their probe."""
     _, rows, vocabulary = B.board_dataset(spark, folder)
-    params = I.InductionParams(rounds=1, max_thresholds=2, beam=8, top_k=2, max_promoted=1, probe_depth=2)
+    params = I.InductionParams(rounds=1, top_k=4, max_promoted=2, probe_depth=4)
     found = I.induce_concepts(rows, vocabulary, params)
     shape = "round int, expr string, train_gain double, holdout_gain double, outcome string"
     return spark.createDataFrame([tuple(o.values()) for o in found.outcomes], shape)
