@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stepgrove.session import checkpoint_folder, materialize
+from stepgrove.session import checkpoint_folder, drop_table, materialize
 
 from .catalog import BLANKS, located, query, table
 
@@ -83,6 +83,7 @@ def exact_groups(docs, id="doc_id", text="text", digest=sha256, place=None):
     ).write.parquet(f"{base}/arrivals")
     entries = remember(spark, f"{base}/arrivals", f"{base}/state")
     grouped = materialize(spark.read.parquet(f"{base}/arrivals").join(entries, "digest"))
+    drop_table(spark, base)
 
     # Full bytes of every row whose digest was met before, beside those of the row that stays.
     shared = grouped.filter("group_size > 1").select("digest", "place", "best", "n_points", "turned_id")
@@ -114,7 +115,7 @@ def keep_first(docs, id="doc_id", text="text"):
     name = f"place_{uuid.uuid4().hex}"
     rows = located(docs, name)
     kept = exact_groups(rows, id, text, place=name).filter("kept").select(F.col("place").alias(name))
-    return rows.join(kept, name, "left_semi").drop(name)
+    return rows.join(kept.hint("shuffle_hash"), name, "left_semi").drop(name)
 
 
 SQL = r"""
