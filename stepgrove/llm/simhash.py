@@ -29,13 +29,15 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 
-#: The tree: sampled fingerprints it is fitted on (at least 2 ** MAX_DEPTH), most levels, own fingerprints a leaf aims at.
+#: The tree: sampled fingerprints it is fitted on (at least 2 ** MAX_DEPTH), least and most levels, and the own
+#: fingerprints of a leaf above which it gets more levels. Every level sends about 0.7 of the visitors both ways.
 SAMPLE = 16_384
+MIN_DEPTH = 6
 MAX_DEPTH = 12
-LEAF = 4_096
+LEAF = 65_536
 #: Own fingerprints and visitors of one comparison task.
-BLOCK = 4_096
-VISITORS = 16_384
+BLOCK = 32_768
+VISITORS = 32_768
 
 MAX_SHINGLES = 65_536
 
@@ -153,7 +155,10 @@ def forest(own, others, radius):
     for a in range(0, len(own), 64):
         left = own[a : a + 64, None]
         for b in range(a if others is None else 0, len(right), 4096):
-            i, j = np.nonzero(np.bitwise_count(left ^ right[None, b : b + 4096]) <= radius)
+            close = np.bitwise_count(left ^ right[None, b : b + 4096]) <= radius
+            if not close.any():
+                continue
+            i, j = np.nonzero(close)
             i, j = i + a, j + b + shift
             while len(i):
                 x, y = _find(root, i), _find(root, j)
@@ -165,13 +170,13 @@ def forest(own, others, radius):
     return whole[linked], whole[top[linked]]
 
 
-def links(points, radius=RADIUS, leaf=LEAF, block=BLOCK, visitors=VISITORS):
+def links(points, radius=RADIUS, least=MIN_DEPTH, leaf=LEAF, block=BLOCK, visitors=VISITORS):
     """Edges (a, b) that connect exactly the fingerprints within ``radius`` bits, directly or in steps.
 
     ``points`` has one column ``fingerprint`` of distinct signed longs and is read twice.
     """
     spark, n = points.sparkSession, points.count()
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n) / leaf))))
+    depth = min(MAX_DEPTH, max(least, math.ceil(math.log2(max(1, n) / leaf))))
     taken = points.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(SAMPLE).collect() if depth else []
     tree = Tree(np.array([r[0] for r in taken], "<i8").view("<u8"), depth, radius)
 
@@ -241,7 +246,8 @@ def keep_one(docs, id="doc_id", text="text"):
     rows = located(docs, name)
     groups = near_groups(rows, id, text, place=name)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col(id).isNull(), F.col(id), F.col("place"))).alias("first"))
-    return rows.join(first.select(F.col("first.place").alias(name)), name, "left_semi").drop(name)
+    kept = first.select(F.col("first.place").alias(name))
+    return rows.join(kept.hint("shuffle_hash"), name, "left_semi").drop(name)
 
 
 @query("op2_simhash_dups")
