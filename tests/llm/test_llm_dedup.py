@@ -85,7 +85,7 @@ def dense(n, seed):
     return np.unique(np.concatenate((noise, np.array(ball, np.uint64), np.array(chain, np.uint64), np.array([0, 2**64 - 1], np.uint64))))
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf": 40}, {"leaf": 30, "block": 16, "visitors": 25}])
+@pytest.mark.parametrize("options", [{}, {"least": 0}, {"least": 1, "leaf": 40}, {"least": 3, "block": 16, "visitors": 25}])
 def test_links_find_every_pair_whatever_the_tree(spark, options):
     points = dense(300, 5)
     signed = points.view("<i8").tolist()
