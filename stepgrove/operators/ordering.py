@@ -54,17 +54,18 @@ def _ranged(df, keys, order, sample):
     return placed.withColumn(RANGE, F.when(F.col("_block") == 0, 0).otherwise(inside)).drop("_block", "_coarse")
 
 
-def running(df, keys, order, measures, *, exclusive=False, total=None, keep_range=False, sample=SAMPLE):
+def running(df, keys, order, measures, *, exclusive=False, total=None, keep_range=False, sample=SAMPLE, max_group=None):
     """Add one running sum per entry of ``measures`` (name -> Column), rows taken in ``order``.
 
     ``order`` names ascending columns, nulls first, that together give a total order inside a group; null keys are a
     group. ``exclusive`` leaves the row itself out. ``total`` names a column for the number of rows of the group.
     ``keep_range`` leaves the range of each row in the column RANGE. ``sample`` changes the plan's tasks, never its
-    result.
+    result. ``max_group`` is a bound on the rows of a group that the caller knows; up to ``sample`` rows need no cuts.
     """
     keys, order, names = list(keys), list(order), list(measures)
     staged = df.select("*", *[measures[m].alias(f"_m_{m}") for m in names])
-    placed = _ranged(staged, keys, order, sample)
+    whole = max_group is not None and max_group <= sample
+    placed = staged.withColumn(RANGE, F.lit(0)) if whole else _ranged(staged, keys, order, sample)
 
     by = [*keys, RANGE]
     last = -1 if exclusive else 0
@@ -73,6 +74,10 @@ def running(df, keys, order, measures, *, exclusive=False, total=None, keep_rang
     if total:
         out = out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
+    extra = ([total] if total else []) + ([RANGE] if keep_range else [])
+    shown = [*[f"`{c}`" for c in df.columns if c not in names], *names, *extra]
+    if whole:
+        return out.select(*shown)
     group = Window.partitionBy(*keys)
     before = group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -85,8 +90,7 @@ def running(df, keys, order, measures, *, exclusive=False, total=None, keep_rang
     out = out.withColumns({m: F.col(m) + F.coalesce(F.col(f"_o_{m}"), F.lit(0)) for m in names})
     if total:
         out = out.withColumn(total, F.coalesce(F.col("_o_n"), F.col(total)))
-    extra = ([total] if total else []) + ([RANGE] if keep_range else [])
-    return out.select(*[f"`{c}`" for c in df.columns if c not in names], *names, *extra)
+    return out.select(*shown)
 
 
 def ordinal(df, keys, order, name="ply", **options):

@@ -127,22 +127,27 @@ def leaf_evidence(rows, classes, holdout=None):
     Needs ``leaf``, ``label``, ``qualifying``, ``occurrences`` and ``value``.
     """
     held = F.lit(False) if holdout is None else holdout
+    # Rows alike in all that counts are one row with their number; that leaves few, however many classes there are.
     part = rows.select("leaf", "label", "qualifying", "occurrences", "value", held.alias("_held"))
-    train = ~F.col("_held")
-    totals = part.groupBy("leaf").agg(
-        F.count_if(train).alias("support"),
-        F.sum(F.when(train, F.col("occurrences")).otherwise(0)).alias("occurrences"),
-        *[F.count_if(train & (F.col("value") == v)).alias(n) for n, v in (("win", 1), ("draw", 0), ("loss", -1))],
-        F.count_if("_held").alias("holdout_rows"),
+    alike = part.groupBy("leaf", "label", "qualifying", "value", "_held").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("occurrences").alias("seen")
     )
-    # One row per (leaf, class): how many rows it qualifies for, and of how many it is the label.
-    entry = lambda name, kind: F.struct(name.alias("class"), F.lit(kind).alias("kind"))
-    entries = F.concat(F.transform("qualifying", lambda c: entry(c, "sound")), F.array(entry(F.col("label"), "label")))
-    told = part.select("leaf", "_held", F.explode(entries).alias("e")).select("leaf", "_held", "e.*")
-    of = lambda kind, side: F.count_if((F.col("kind") == kind) & side)
+    # Each of them tells its leaf (no class), its label, and every class it qualifies for.
+    entry = lambda name, kind: F.struct(name.cast("string").alias("class"), F.lit(kind).alias("kind"))
+    entries = F.concat(
+        F.transform("qualifying", lambda c: entry(c, "sound")), F.array(entry(F.col("label"), "label"), entry(F.lit(None), "leaf"))
+    )
+    told = alike.select("leaf", "value", "_held", "n", "seen", F.explode(entries).alias("e")).select("*", "e.*")
+    train, held_out = ~F.col("_held"), F.col("_held")
+    of = lambda kind, side, n="n": F.coalesce(F.sum(F.when((F.col("kind") == kind) & side, F.col(n))), F.lit(0))
+    totals = {
+        "support": of("leaf", train), "occurrences": of("leaf", train, "seen"), "holdout_rows": of("leaf", held_out),
+        **{name: of("leaf", train & (F.col("value") == v)) for name, v in (("win", 1), ("draw", 0), ("loss", -1))},
+    }
     counted = told.groupBy("leaf", "class").agg(
         of("sound", train).alias("sound"), of("label", train).alias("label_matches"),
-        of("sound", F.col("_held")).alias("holdout_sound"), of("label", F.col("_held")).alias("holdout_correct"),
+        of("sound", held_out).alias("holdout_sound"), of("label", held_out).alias("holdout_correct"),
+        *[c.alias(n) for n, c in totals.items()],
     )
     names = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<string>")
     place = F.array_position(names, F.col("class"))
@@ -150,13 +155,13 @@ def leaf_evidence(rows, classes, holdout=None):
     ranked = F.when((place > 0) & (F.col("sound") > 0), F.struct((-F.col("sound")).alias("n"), place.alias("i"), figures.alias("f")))
     zero = F.lit(0).cast("bigint")
     best = counted.groupBy("leaf").agg(
-        F.min(ranked).alias("best"),
+        F.min(ranked).alias("best"), *[F.max(n).alias(n) for n in totals],
         *[F.max(F.when(F.col("class") == NO_LABEL, F.col(c))).alias(f"_none_{c}") for c in ("label_matches", "holdout_correct")],
     )
     some = F.col("best").isNotNull()
     pick = lambda c, other=zero: F.when(some, F.col(f"best.f.{c}")).otherwise(other)
     none = lambda c: pick(c, F.coalesce(F.col(f"_none_{c}"), zero))
-    return totals.join(best, "leaf", "left").select(
+    return best.select(
         "leaf", pick("class", F.lit(NO_LABEL)).alias("class"), "support", pick("sound").alias("sound"),
         none("label_matches").alias("label_matches"), "occurrences", "win", "draw", "loss", "holdout_rows",
         none("holdout_correct").alias("holdout_correct"), pick("holdout_sound").alias("holdout_sound"),

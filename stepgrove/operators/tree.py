@@ -209,7 +209,9 @@ def fit(rows, classes, max_depth=0, min_leaf=1, weight=None, **options):
         if not open_nodes:
             return Tree(nodes)
         kept = value_counts(rows, nodes, open_nodes, classes).persist()
-        found = best_splits(split_table(kept, nodes, classes, total, **options), min_leaf, total).collect()
+        largest = kept.groupBy("node", "column").count().agg(F.max("count")).first()[0]
+        table = split_table(kept, nodes, classes, total, max_group=largest, **options)
+        found = best_splits(table, min_leaf, total).collect()
         kept.unpersist()
         open_nodes = set()
         for split in sorted(found, key=lambda r: r["node"]):

@@ -36,18 +36,23 @@ def event_rows(spark, folder):
     return events.select(F.col("user_id").alias("seq_id"), F.col("event_type").alias("action"), "ts", "event_id")
 
 
-def event_sequences(steps):
+def event_sequences(steps, pairs=True):
     """One row per user: a purchase at the end wins for the seat that made it, an error draws.
 
     Steps without a number give no fingerprint; the rest is the same and needs no ordering of whole sequences.
+    ``pairs`` adds the pairing of the first two actions.
     """
     order = ("ts", "event_id")
     last = F.col("last_action")
-    return (
+    found = (
         C.sequence_summary(steps, order, "ply" in steps.columns)
-        .join(C.nth_action(steps, 2, order, "second_action"), "seq_id", "left")
         .withColumn("result", F.when(last == "purchase", "win").when(last == "error", "draw").otherwise("unfinished"))
         .withColumn("winner", F.when(last == "purchase", seat_player(F.col("length") - 1)))
+    )
+    if not pairs:
+        return found
+    return (
+        found.join(C.nth_action(steps, 2, order, "second_action"), "seq_id", "left")
         .withColumn("strategies", F.array("first_action", "second_action"))
         .withColumn("pairing", pairing_key("strategies"))
     )

@@ -7,6 +7,7 @@ from ..functions import sets
 from ..operators import agreement as A
 from ..operators import dataset as D
 from ..operators.features import Feature, Vocabulary, boolify
+from ..session import materialize
 from . import boards as B
 from .catalog import joined, query, r9, table
 from .corpora import STEPS_SQL, event_steps, sliding
@@ -85,7 +86,7 @@ SELECT CASE WHEN grouping(chosen_by) = 0 THEN 'chosen_by' WHEN grouping(ply) = 0
        CASE WHEN grouping(chosen_by) = 0 THEN chosen_by::VARCHAR WHEN grouping(ply) = 0 THEN ply::VARCHAR ELSE 'all' END AS key,
        {RATE_SQL} FROM j GROUP BY GROUPING SETS ((chosen_by), (ply), ())""")
 def agreement_report(spark, folder):
-    moves = next_moves(spark, folder)
+    moves = materialize(next_moves(spark, folder))
     found = A.agreement_report(moves, A.usual_moves(moves), ("chosen_by", "ply"))
     return found.withColumn("rate", r9("rate"))
 

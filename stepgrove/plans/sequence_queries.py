@@ -10,7 +10,7 @@ from ..operators import summary as S
 from ..operators.ordering import ordinal
 from ..session import materialize
 from .catalog import joined, query, r9, table
-from .corpora import SYMBOLS, TALLY_SQL, STEPS_SQL, event_corpus, event_sequences, event_steps, seat_player, windows
+from .corpora import SYMBOLS, TALLY_SQL, STEPS_SQL, event_corpus, event_rows, event_sequences, event_steps, seat_player, windows
 
 POSITION_SQL = "list_position(['click','error','purchase','signup','view'], {0}) - 1"
 
@@ -72,12 +72,12 @@ def wins_by_winner(spark, folder):
 
 @query("outcome_by_length", f"WITH {STEPS_SQL} SELECT length, {TALLY_SQL} FROM seqs GROUP BY 1")
 def outcome_by_length(spark, folder):
-    return S.outcome_tally(event_corpus(spark, folder).sequences, ["length"])
+    return S.outcome_tally(event_sequences(event_rows(spark, folder), pairs=False), ["length"])
 
 
 @query("outcome_by_ply", f"WITH {STEPS_SQL} SELECT ply, {TALLY_SQL} FROM steps JOIN seqs USING (seq_id) GROUP BY 1")
 def outcome_by_ply(spark, folder):
-    return S.outcome_by_ply(event_corpus(spark, folder).sequences)
+    return S.outcome_by_ply(event_sequences(event_rows(spark, folder), pairs=False))
 
 
 REFLECTION = [[0, 1, 2, 3, 4], [4, 3, 2, 1, 0]]
@@ -86,7 +86,7 @@ REFLECTION = [[0, 1, 2, 3, 4], [4, 3, 2, 1, 0]]
 @query("outcome_by_first_action", f"""WITH {STEPS_SQL}, p AS (SELECT *, {POSITION_SQL.format("first_action")} AS pos FROM seqs)
 SELECT CAST(least(pos, 4 - pos) AS INTEGER) AS orbit, {TALLY_SQL} FROM p GROUP BY 1""")
 def outcome_by_first_action(spark, folder):
-    sequences = event_corpus(spark, folder).sequences
+    sequences = event_sequences(event_rows(spark, folder), pairs=False)
     position = (F.array_position(F.array(*[F.lit(s) for s in SYMBOLS]), F.col("first_action")) - 1).cast("int")
     return S.outcome_tally(sequences.withColumn("orbit", orbit_of(position, REFLECTION)), ["orbit"])
 
@@ -134,7 +134,7 @@ metrics AS (SELECT *, (SELECT distinct_states FROM d) AS distinct_states,
 
 def metrics_of(spark, folder):
     steps, final = states_of(spark, folder)
-    return S.diversity_metrics(event_sequences(steps), S.distinct_states(steps, final), known_canonical=20000)
+    return S.diversity_metrics(event_sequences(steps, pairs=False), S.distinct_states(steps, final), known_canonical=20000)
 
 
 @query("diversity_metrics", METRICS_SQL + """

@@ -47,6 +47,7 @@ def test_any_cut_equals_a_plain_window(spark, sample, parts):
             "c": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
         })
         assert same(plain, running(df, keys, order, {"c": F.col("v")}, total="n", sample=sample))
+        assert same(plain, running(df, keys, order, {"c": F.col("v")}, total="n", sample=sample, max_group=1200))
         assert same(df.withColumn("p", (F.row_number().over(w) - 1).cast("bigint")), ordinal(df, keys, order, "p", sample=sample))
 
 
