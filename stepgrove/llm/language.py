@@ -22,7 +22,7 @@ TRAIN_ROWS = 200_000
 #: Up to this many languages every split of them is a bit; beyond it, BITS_PER_DOUBLING random splits.
 EXHAUSTIVE = 7
 BITS_PER_DOUBLING = 12
-#: Languages at most; their codewords and weights are held by every task.
+#: Languages that are learned at most, those with the most labelled rows; every task holds their codewords and weights.
 MAX_LANGUAGES = 512
 #: Trigrams after which more text adds no confidence, and the share of the best under which a text is ambiguous.
 ENOUGH = 300
@@ -119,11 +119,15 @@ class Codes:
 
 
 def learn(rows):
-    """Fit the codes on rows (key, lang, text); null languages are left out, the key only picks the sample."""
+    """Fit the codes on rows (key, lang, text); null languages are left out, the key only picks the sample.
+
+    Of more than MAX_LANGUAGES languages those with the most rows are learned, ties by name; texts of the others are
+    given to the learned language they are nearest to.
+    """
     labelled = rows.filter(F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
+    labelled = labelled.join(F.broadcast(labelled.sparkSession.createDataFrame([(k,) for k in sizes], "lang string")), "lang", "left_semi")
     if any(n > TRAIN_ROWS for n in sizes.values()):
         drawn = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / 1_000_000
         rate = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, TRAIN_ROWS / n)) for k, n in sizes.items()])

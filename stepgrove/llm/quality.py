@@ -27,7 +27,7 @@ MOST_CLASSES = 0.30
 MOST_COMMON = 0.90
 CLASSES_GUARD = 20
 COMMON_GUARD = 100
-#: Languages at most; their references are literals of the plan.
+#: Languages whose references are literals of the plan; more are an array beside the rows, so any number works.
 MAX_LANGUAGES = 64
 
 #: Character classes as patterns of all else (white space is one more), and the most common words of four
@@ -110,9 +110,7 @@ def references(rows):
     sums = [F.sum("n_words").alias("n_words"), F.sum("n_points").alias("n_points")]
     sums += [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
     sums += [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(vocabulary))]
-    found = rows.filter("lang IS NOT NULL AND n_words > 0").groupBy("lang").agg(*sums).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = rows.filter("lang IS NOT NULL AND n_words > 0").groupBy("lang").agg(*sums).orderBy("lang").collect()
     out = {}
     for r in found:
         classes = [r[f"c{i}"] for i in range(len(CLASSES) + 1)]
@@ -134,7 +132,8 @@ def divergence(counts, total, shares):
         part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
         return (part(p) + part(q)) / 2
 
-    parts = F.zip_with(mine, F.array(*[F.lit(float(s)) for s in shares]), term)
+    theirs = F.array(*[F.lit(float(s)) for s in shares]) if isinstance(shares, list) else shares
+    parts = F.zip_with(mine, theirs, term)
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
@@ -151,6 +150,8 @@ def judge(rows, known):
     """``rows`` with base_failed, nearest (language), class_distance, common_distance and kept."""
     vocabulary = sorted({w for some in COMMON.values() for w in some})
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    if len(known) > MAX_LANGUAGES:
+        return _verdicts(rows.crossJoin(F.broadcast(_reference_row(rows.sparkSession, known, vocabulary))), base, _nearest(known))
     compared = []
     wide = F.transform("classes", lambda x: x.cast("bigint"))
     for lang, (classes, common) in known.items():
@@ -158,8 +159,36 @@ def judge(rows, known):
         far = divergence(own, F.col("n_words"), common) / F.lit(without_any(common)) if common else F.lit(0.0)
         near = divergence(wide, F.col("n_points"), classes)
         compared.append(F.struct((near / MOST_CLASSES + far / MOST_COMMON).alias("rank"), F.lit(lang).alias("lang"), near.alias("classes"), far.alias("common")))
-    usable = (F.col("n_words") >= min(CLASSES_GUARD, COMMON_GUARD)) & F.lit(bool(known))
-    best = F.when(usable, F.array_min(F.array(*compared))) if compared else F.lit(None).cast("struct<rank:double,lang:string,classes:double,common:double>")
+    best = F.array_min(F.array(*compared)) if compared else F.lit(None).cast("struct<rank:double,lang:string,classes:double,common:double>")
+    return _verdicts(rows, base, best)
+
+
+def _reference_row(spark, known, vocabulary):
+    """One row with all references: a few hundred numbers for each language."""
+    shape = "refs array<struct<lang:string,classes:array<double>,places:array<int>,common:array<double>,none:double>>"
+    refs = [
+        (lang, [float(x) for x in classes], [vocabulary.index(w) for w in COMMON.get(lang, [])] if common else [],
+         [float(x) for x in common] if common else None, float(without_any(common)) if common else None)
+        for lang, (classes, common) in known.items()
+    ]
+    return spark.createDataFrame([(refs,)], shape)
+
+
+def _nearest(known):
+    """The nearest of the references in the column ``refs``."""
+    wide = F.transform("classes", lambda x: x.cast("bigint"))
+
+    def compare(r):
+        own = F.transform(r["places"], lambda p: F.get("common", p).cast("bigint"))
+        far = F.when(r["common"].isNotNull(), divergence(own, F.col("n_words"), r["common"]) / r["none"]).otherwise(F.lit(0.0))
+        near = divergence(wide, F.col("n_points"), r["classes"])
+        return F.struct((near / MOST_CLASSES + far / MOST_COMMON).alias("rank"), r["lang"].alias("lang"), near.alias("classes"), far.alias("common"))
+
+    return F.array_min(F.transform("refs", compare))
+
+
+def _verdicts(rows, base, best):
+    best = F.when(F.col("n_words") >= min(CLASSES_GUARD, COMMON_GUARD), best)
     judged = rows.withColumns({"base_failed": base, "best": best})
     far = ((F.col("n_words") >= CLASSES_GUARD) & (F.col("best.classes") > MOST_CLASSES)) | (
         (F.col("n_words") >= COMMON_GUARD) & (F.col("best.common") > MOST_COMMON)
