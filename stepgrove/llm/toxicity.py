@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms that labelled toxic texts hold more often than others (chi-square) make the vocabulary. Labelled texts become
+Terms that labelled toxic texts hold surely and clearly more often than others make the vocabulary, however rare. Labelled texts become
 TF-IDF vectors over it, with one more dimension for all other words, so that the amount of marking terms counts;
 equal vectors are one example with the votes of all its texts. An inverted index keeps the
 postings in blocks with the largest weight of each term per block: blocks are opened in order of the bound this gives
@@ -22,10 +22,11 @@ from .catalog import fraction_of_crc, query, table
 
 #: Labelled rows per class that examples are made of (a hash of the id picks them).
 EXAMPLES = 10_000
-#: Terms at most, labelled texts a term must occur in, and the least chi-square against the best term's.
-TERMS = 256
-LEAST_TEXTS = 5
-LEAST_SHARE = 0.05
+#: Labelled texts a term must occur in, how surely it marks (minus the log of a bound on the chance of as many toxic
+#: texts, one in a thousand), and how much more often than others toxic texts must hold it. No level depends on other terms.
+LEAST_TEXTS = 4
+LEAST_SURPRISE = 6.9
+LEAST_LIFT = 3
 #: Neighbours that vote, examples per index block, softness of the closeness weight, pseudo-votes of the base rate.
 NEIGHBOURS = 20
 BLOCK = 64
@@ -65,7 +66,7 @@ def examples(docs, labels):
 
 
 def vocabulary(rows, n0, n1):
-    """The terms that mark toxic texts, with the number of texts that hold them: at most TERMS rows."""
+    """The terms that mark toxic texts, numbered, with the number of texts that hold them."""
 
     def run(batches):
         sums = {}
@@ -91,13 +92,20 @@ def vocabulary(rows, n0, n1):
     n, a, b = n0 + n1, F.col("a").cast("double"), F.col("b").cast("double")
     off = a * n0 - b * n1
     chi = off * off * n / ((a + b) * (n - a - b) * float(n0 * n1))
-    scored = held.filter((a + b >= LEAST_TEXTS) & (a + b < n) & (off > 0)).withColumn("chi", chi)
-    best = scored.orderBy(F.desc("chi"), F.desc(F.length("term")), "term").limit(TERMS).collect()
-    chosen, bare = {}, []
-    for r in best:
-        stem = r["term"].rstrip("-")
-        if r["chi"] >= LEAST_SHARE * best[0]["chi"] and not any(stem.startswith(x) or x.startswith(stem) for x in bare):
-            bare.append(stem)  # a word and its beginnings say the same: the best of them stays
+    share, base = a / (a + b), n1 / n
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
+    surprise = (a + b) * (part(share, F.lit(base)) + part(1 - share, F.lit(1 - base)))
+    marking = (a + b >= LEAST_TEXTS) & (a + b < n) & (a * n0 >= LEAST_LIFT * b * n1) & (surprise >= LEAST_SURPRISE)
+    scored = held.filter(marking).withColumn("chi", chi)
+    chosen, bare, begun = {}, set(), {}
+    for r in scored.orderBy(F.desc("chi"), F.desc(F.length("term")), "term").collect():
+        stem, held_by = r["term"].rstrip("-"), (r["a"], r["b"])
+        starts = {stem[:i] for i in range(1, len(stem) + 1)}
+        # What follows a better beginning says the same, and so does a beginning of one word; a wider one says more.
+        if not starts & bare and held_by not in begun.get(stem, ()):
+            bare.add(stem)
+            for x in starts:
+                begun.setdefault(x, set()).add(held_by)
             chosen[r["term"]] = (len(chosen), r["a"] + r["b"])
     return chosen
 
@@ -105,8 +113,8 @@ def vocabulary(rows, n0, n1):
 class Counter:
     """Counts of the vocabulary's terms in a text, as a sorted tuple of (term number, count).
 
-    The last pair is a number beyond the terms and the power of two next to the number of other words. Texts without
-    any term give an empty tuple.
+    The last pair is a number beyond the terms and the power of two next to the number of other words, which is 1 in a
+    text without any term (its direction is the same). Texts without words give an empty tuple.
     """
 
     def __init__(self, terms):
@@ -123,7 +131,9 @@ class Counter:
             for t in held:
                 counts[t] = counts.get(t, 0) + 1
             others += not held
-        return (*sorted(counts.items()), (len(self.number), 1 << others.bit_length())) if counts else ()
+        if not counts:
+            return ((len(self.number), 1),) if others else ()
+        return (*sorted(counts.items()), (len(self.number), 1 << others.bit_length()))
 
 
 def vectors(rows, terms):
@@ -200,12 +210,14 @@ class Voter:
             if key in grouped:
                 grouped[key][0] += vote
                 grouped[key][1] = min(grouped[key][1], example)
+                grouped[key][2] += 1
             else:
-                grouped[key] = [vote, example]
+                grouped[key] = [vote, example, 1]
         # Texts without a marking term are the example at the far end of the last dimension.
         self.rest = grouped[plain][0] if plain in grouped else np.zeros(2)
         keys = sorted(grouped)
         self.index = Index([self.vector(k) for k in keys], [grouped[k][0] for k in keys], [grouped[k][1] for k in keys])
+        self.texts = {grouped[k][1]: grouped[k][2] for k in keys}
         self.known = {}
 
     def vector(self, key):
@@ -227,6 +239,10 @@ class Voter:
         if not len(at):
             return float((self.rest[0] + SMOOTH * self.base) / (self.rest[1] + SMOOTH)), None, 0.0
         close = SOFT / (SOFT + 1 - cosines)
+        # The nearest texts vote, not all texts of the nearest vectors: one of thousands would outvote rare ones.
+        texts = np.array([self.texts[self.index.shown[i]] for i in at], float)
+        before = np.cumsum(texts) - texts
+        close *= np.clip((NEIGHBOURS - before) / texts, 0, 1)
         toxic, whole = (close[:, None] * self.index.votes[at]).sum(axis=0)
         return float((toxic + SMOOTH * self.base) / (whole + SMOOTH)), int(self.index.shown[at[0]]), float(cosines[0])
 
@@ -248,8 +264,8 @@ def learn(docs, labels):
 def score_documents(docs, voter, id="doc_id", text="text"):
     """(id, score, nearest, cosine) per row of ``docs``.
 
-    The score is the toxic share of the votes. Null and empty texts and texts without a marking term score the toxic
-    share of the labelled texts without one; with nothing learned it is 0. ``nearest`` is the id of the nearest
+    The score is the toxic share of the votes. Every text with a word is searched in the index. Null and empty texts
+    score the toxic share of the labelled texts without a marking term; with nothing learned it is 0. ``nearest`` is the id of the nearest
     example, null without one. Repeated rows are scored each; other columns play no part; an empty table gives an
     empty table.
     """
