@@ -6,12 +6,15 @@ from pyspark import cloudpickle
 
 from .catalog import ORACLES, QUERIES
 from . import (  # noqa: F401
+    clusters,
     exact_dedup,
+    fill_middle,
     language,
     licenses,
     line_dedup,
     mixing,
     packing,
+    personal,
     quality,
     simhash,
     toxicity,
