@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .catalog import fraction_of_crc, query, table
+from .catalog import fraction_of_crc, freeing, query, table
 
 #: Hash buckets of the trigrams.
 BUCKETS = 2**15
@@ -69,7 +69,7 @@ def trigram_counts(rows):
             )
 
     plain = rows.select("lang", F.col("text").cast("binary").alias("text"))
-    return plain.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return plain.mapInArrow(freeing(run), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def codewords(n, seed=7):
@@ -164,7 +164,7 @@ def predict(docs, codes, text="text", prefix=""):
 
     kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
     schema = T.StructType([*docs.schema.fields, *map(T.StructField, added, kinds)])
-    return docs.withColumn(spare, F.col(text).cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(spare, F.col(text).cast("binary")).mapInArrow(freeing(run), schema)
 
 
 def held_out(key):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .catalog import query, table
+from .catalog import freeing, query, table
 
 #: Longest sequence; a power of two.
 LONGEST = 2048
@@ -151,7 +151,7 @@ def pack(docs, tokenizer, id="doc_id", text="text", longest=LONGEST, end=END):
 
     plain = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
     schema = "id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int, ids binary"
-    return plain.mapInArrow(run, schema).withColumnRenamed("id", id)
+    return plain.mapInArrow(freeing(run), schema).withColumnRenamed("id", id)
 
 
 def _batch(keys, rows):

@@ -8,7 +8,7 @@ import corpus_pipeline
 import duckdb
 import public_tokenizers
 import pytest
-from cases import FOLDER, documents, fingerprint, linked, ordered
+from cases import FOLDER, documents, ordered
 from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
@@ -38,6 +38,7 @@ def test_query(spark, con, name):
 def test_pipeline(spark):
     import re
 
+    from test_llm_similar import kept
     from test_llm_text import mixed
 
     rows = [r for r in documents() if any(c.isalpha() for c in r[1] or "")]
@@ -46,7 +47,8 @@ def test_pipeline(spark):
         bare = re.sub(r"[\x20\x09-\x0D]", "", r[1])
         first[bare] = min(first.get(bare, r), r, key=lambda r: (-len(r[1]), r[0]))
     rows = sorted(first.values())
-    rows = [r for r, g in zip(rows, linked([fingerprint(r[1]) for r in rows])) if rows[g] == r]
+    stay = set(kept(rows))
+    rows = [r for r in rows if r[0] in stay]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = []
     text = {r[0]: r[1] for r in rows}
