@@ -354,8 +354,8 @@ def induce_concepts(dataset, vocabulary, params=InductionParams(), key="canonica
     """Greedy rounds: enumerate, probe each shortlisted concept with a mined list, promote what helps.
 
     ``dataset`` holds values, label, qualifying, occurrences and value (-1, 0, 1). A promoted concept is
-    appended to ``values`` and to the vocabulary, so later rounds can build on it. ``stored`` says that
-    ``dataset`` is already a plain table.
+    appended to ``values`` and to the vocabulary, so later rounds can build on it. All concepts that a round has
+    left are probed together, again after each promotion. ``stored`` says that ``dataset`` is already a plain table.
     """
     params.validate()
     dataset = dataset if stored else R.stored_dataset(dataset, key)
@@ -378,35 +378,37 @@ def induce_concepts(dataset, vocabulary, params=InductionParams(), key="canonica
                            "shortlisted": len(found.shortlist), "promoted": 0})
         if not found.shortlist:
             break
-        probe = lambda d, v: R.mine_one(d, v, params.probe_depth)
-        before = probe(current, given).scores
-        promoted, prints = 0, set()
-        for c in found.shortlist:
-            if promoted >= params.max_promoted:
-                break
+        name = lambda: f"concept_{len(out.concepts) + 1}"
+        invented = lambda c: Feature(name(), "invented", "bool", f"invented concept (round {round_})", None, c.expr)
+        promoted, prints, left, after = 0, set(), list(found.shortlist), {}
+        while left and promoted < params.max_promoted:
+            c = left[0]
             entry = {"round": round_, "expr": c.expr.text(), "train_gain": c.train_gain, "holdout_gain": c.holdout_gain}
             if _fingerprint(c.sums) in prints:
                 out.outcomes.append({**entry, "outcome": "duplicate"})
+                left.pop(0)
                 continue
-            name = f"concept_{len(out.concepts) + 1}"
-            trial_vocabulary = Vocabulary(list(given.features)).push(
-                Feature(name, "invented", "bool", f"invented concept (round {round_})", None, c.expr)
-            )
-            trial = current.withColumn("values", F.concat("values", F.array(encode(on_values(c.expr, given), "bool"))))
-            after = probe(trial, trial_vocabulary)
+            if not after:  # all that are left are tried at once over the features of now
+                tried = [x for x in left if _fingerprint(x.sums) not in prints]
+                extras = [(invented(x), encode(on_values(x.expr, given), "bool")) for x in tried]
+                probed, plain = R.mine_trials(current, given, extras, params.probe_depth)
+                before, after = plain.scores, {x.seq: p for x, p in zip(tried, probed)}
+            left.pop(0)
+            mined, feature = after[c.seq], invented(c)
             accepted = promotion_accepts(
-                name in after.decisions.references(), before["rules"], after.scores["rules"],
-                before["train_soundness"], after.scores["train_soundness"], params,
+                feature.name in mined.decisions.references(), before["rules"], mined.scores["rules"],
+                before["train_soundness"], mined.scores["train_soundness"], params,
             )
-            out.outcomes.append({**entry, "outcome": f"promoted:{name}" if accepted else "rejected-downstream"})
+            out.outcomes.append({**entry, "outcome": f"promoted:{feature.name}" if accepted else "rejected-downstream"})
             if accepted:
                 out.concepts.append(Concept(
-                    name, c.expr, round_, c.train_gain, c.holdout_gain, before["rules"], after.scores["rules"],
-                    before["train_soundness"], after.scores["train_soundness"],
+                    feature.name, c.expr, round_, c.train_gain, c.holdout_gain, before["rules"], mined.scores["rules"],
+                    before["train_soundness"], mined.scores["train_soundness"],
                 ))
-                current, given, before = trial, trial_vocabulary, after.scores
+                current = current.withColumn("values", F.concat("values", F.array(encode(on_values(c.expr, given), "bool"))))
+                given = Vocabulary(list(given.features)).push(feature)
                 prints.add(_fingerprint(c.sums))
-                promoted += 1
+                promoted, after = promoted + 1, {}
         out.rounds[-1]["promoted"] = promoted
         if promoted == 0:
             break

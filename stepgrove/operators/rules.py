@@ -241,10 +241,35 @@ def mine_one(dataset, vocabulary, depth, min_leaf=1, holdout=None, engine="cart"
     held = F.lit(False) if holdout is None else holdout
     fitted = fitted or fit_tree(dataset, vocabulary, depth, min_leaf, holdout, engine)
     routed = dataset.withColumn("leaf", fitted.route())
-    table = leaf_evidence(routed, classes, held)
-    rows = {r["leaf"]: r for r in table.collect()}
+    rows = {r["leaf"]: r for r in leaf_evidence(routed, classes, held).collect()}
+    return _mined(fitted, vocabulary, rows, name or (f"mined-d{depth}-l{min_leaf}" if engine == "cart" else f"mined-{engine}-d{depth}-l{min_leaf}"))
+
+
+def mine_trials(dataset, vocabulary, extras, depth, min_leaf=1):
+    """One list per extra feature, mined with it as the last feature of the vocabulary, and the list without any.
+
+    ``extras`` are (feature, column of its values). All trees grow in one job per level, and one more job gives the
+    evidence of all leaves; each list equals that of :func:`mine_one` with its vocabulary.
+    """
+    shared, classes = len(vocabulary.features), vocabulary.set_features()
+    wide = dataset.withColumn("values", F.concat("values", F.array(*[c.cast("double") for _, c in extras]).cast("array<double>")))
+    rows = wide.select("values", label_index(classes).alias("label"))
+    grown, plain = trees.fit_trials(rows, len(classes) + 1, shared, len(extras), depth, min_leaf)
+    every = [*grown, plain]
+    largest = max(len(t.nodes) for t in every)
+    leaves = F.array(*[t.route() + k * largest for k, t in enumerate(every)])
+    found = {r["leaf"]: r for r in leaf_evidence(wide.withColumn("leaf", F.explode(leaves)), classes).collect()}
+    out = []
+    for k, t in enumerate(every):
+        own = Vocabulary([*vocabulary.features, *([extras[k][0]] if k < len(extras) else [])])
+        mine = {leaf - k * largest: r for leaf, r in found.items() if leaf // largest == k}
+        out.append(_mined(trees.alone(t, shared), own, mine, f"mined-d{depth}-l{min_leaf}"))
+    return out[:-1], out[-1]
+
+
+def _mined(fitted, vocabulary, rows, name):
+    """The decision list of a tree from the evidence of its leaves."""
     conditions = leaf_conditions(fitted, vocabulary.features)
-    name = name or (f"mined-d{depth}-l{min_leaf}" if engine == "cart" else f"mined-{engine}-d{depth}-l{min_leaf}")
     found = DecisionList(name)
     evidence = []
     for k, (leaf, condition) in enumerate(conditions.items(), start=1):

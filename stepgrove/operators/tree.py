@@ -8,7 +8,8 @@ routed from the root each time, so nothing but the input is kept between levels.
 
 import json
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from fractions import Fraction
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -226,6 +227,85 @@ def fit(rows, classes, max_depth=0, min_leaf=1, weight=None, **options):
             open_nodes |= {parent.left, parent.right}
 
 
+def _purity(split):
+    """The score of a split as an exact fraction."""
+    nl, nr, al, ar = (int(split[c]) for c in ("n_left", "n_right", "a_left", "a_right"))
+    return Fraction(al * nr + ar * nl, nl * nr)
+
+
+def fit_trials(rows, classes, shared, trials, max_depth=0, min_leaf=1, **options):
+    """One tree per trial, grown side by side: trial t sees the first ``shared`` columns and column ``shared + t``.
+
+    Returns the trees in order and the tree of the shared columns alone; each equals what :func:`fit` grows on its own
+    columns, with the trial's column after the shared ones. Nodes of different trees that rows reach by the same splits
+    are one node whose counts are made once, so a level is one job for all trials, and its work grows only where their
+    trees part. One row per open node and trial column reaches the driver.
+    """
+    rows = rows.select("values", "label", F.lit(1).cast("bigint").alias("weight"))
+    counts = [0] * classes
+    for r in rows.groupBy("label").agg(F.sum("weight").alias("n")).collect():
+        counts[r["label"]] = int(r["n"])
+    total, groups = sum(counts), trials + 1
+    met, met_counts = {(): 0}, [counts]  # distinct nodes by the splits that lead to them
+    grown = [[Node(counts, 0)] for _ in range(groups)]
+    places = [[()] for _ in range(groups)]
+    fresh = [{0} for _ in range(groups)]
+    while True:
+        for t, nodes in enumerate(grown):
+            fresh[t] = {
+                i for i in fresh[t]
+                if sum(c > 0 for c in nodes[i].counts) > 1 and (max_depth == 0 or len(nodes[i].path) < max_depth)
+            }
+        wanted = sorted({met[places[t][i]] for t in range(groups) for i in fresh[t]})
+        if not wanted:
+            break
+        number = {m: k for k, m in enumerate(wanted)}
+        reached = []
+        for t, nodes in enumerate(grown):
+            ids = F.array(*[F.lit(number.get(met[places[t][i]], -1) if i in fresh[t] else -1) for i in range(len(nodes))])
+            reached.append(F.element_at(ids, route(nodes, F.col("values")) + 1))
+        # A group is a node with the shared columns, or with one trial column: their best splits are found apart.
+        group = F.col("at") * groups + F.greatest(F.lit(0), F.col("column") - (shared - 1))
+        found = (
+            rows.select(F.explode(F.array_distinct(F.array(*reached))).alias("at"), "values", "label", "weight").filter("at >= 0")
+            .select("at", "label", "weight", F.posexplode("values").alias("column", "value"))
+            .groupBy(group.cast("int").alias("node"), "column", "value")
+            .agg(*[F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0)).alias(f"_k{k}") for k in range(classes)])
+        )
+        kept = found.persist()
+        largest = kept.groupBy("node", "column").count().agg(F.max("count")).first()[0]
+        virtual = [Node(met_counts[m], 0) for m in wanted for _ in range(groups)]
+        splits = {r["node"]: r for r in best_splits(split_table(kept, virtual, classes, total, max_group=largest, **options), min_leaf, total).collect()}
+        kept.unpersist()
+        for t, nodes in enumerate(grown):
+            after = set()
+            for i in sorted(fresh[t]):
+                at = number[met[places[t][i]]] * groups
+                own = [splits[g] for g in (at, *([at + 1 + t] if t < trials else [])) if g in splits]
+                best = max(own, key=_purity, default=None)  # the first of equal ones: shared columns come first
+                parent = nodes[i]
+                if best is None or not _improves(parent, best):
+                    continue
+                left = [int(c) for c in best["left_counts"]]
+                parent.column, parent.threshold = best["column"], best["value"]
+                parent.left, parent.right = len(nodes), len(nodes) + 1
+                for side, n in (("0", left), ("1", [c - l for c, l in zip(parent.counts, left)])):
+                    place = (*places[t][i], (best["column"], best["value"], side))
+                    if place not in met:
+                        met[place] = len(met_counts)
+                        met_counts.append(n)
+                    places[t].append(place)
+                    nodes.append(Node(n, parent.depth + 1, parent.path + side))
+                after |= {parent.left, parent.right}
+            fresh[t] = after
+    return [Tree(nodes) for nodes in grown[:-1]], Tree(grown[-1])
+
+
+def alone(tree, shared):
+    """A tree of :func:`fit_trials` over the shared columns and its own trial column, which comes after them."""
+    return Tree([replace(n, column=min(n.column, shared)) for n in tree.nodes])
+
+
 def node_rows(tree, columns):
     """The tree as plain tuples: path, column name (or None), threshold, rows, modal class."""
     return [

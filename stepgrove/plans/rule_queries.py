@@ -453,8 +453,7 @@ def mined_rules(spark, folder):
 def induced_concepts(spark, folder):
     """Concepts proposed for the board dataset with the outcome of their probe."""
     _, rows, vocabulary = B.board_dataset(spark, folder)
-    params = I.InductionParams(rounds=1, top_k=3, max_promoted=1, probe_depth=3)
-    found = I.induce_concepts(rows, vocabulary, params)
+    found = I.induce_concepts(rows, vocabulary, I.InductionParams())
     shape = "round int, expr string, train_gain double, holdout_gain double, outcome string"
     return spark.createDataFrame([tuple(o.values()) for o in found.outcomes], shape)
 
