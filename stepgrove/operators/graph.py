@@ -75,3 +75,27 @@ def backward_induction(edges, terminals):
 def optimal_sets(optimal):
     """Optimal actions of each state as a sorted array; the actions of one state are few."""
     return optimal.groupBy("state").agg(F.array_sort(F.collect_set("action")).alias("optimal"))
+
+
+def grid_edges(spark, rows, columns):
+    """(position, neighbour) of a grid whose cells are numbered row by row: the cells above, left, right and below."""
+    at, width = F.col("position"), F.lit(columns).cast("bigint")
+    side = lambda test, step: F.when(test, at + step)
+    near = F.array(side(at >= width, -width), side(at % width > 0, -1), side(at % width < width - 1, 1), side(at < (rows - 1) * width, width))
+    return spark.range(rows * columns).select(F.col("id").alias("position")).select("position", F.explode(F.array_compact(near)).alias("neighbour"))
+
+
+def neighbour_lists(edges):
+    """The neighbours of every position, ascending."""
+    return edges.groupBy("position").agg(F.array_sort(F.collect_set("neighbour")).alias("neighbours"))
+
+
+def neighbourhood(rows, key, positions, allowed, edges, name="neighbours"):
+    """``rows`` with the set of allowed positions next to one of ``positions``, ascending.
+
+    ``positions`` and ``allowed`` are array columns of ``rows``, whose ``key`` (a list of columns) is unique and not null;
+    ``edges`` has position and neighbour. Rows without such a neighbour, or with null arrays, get an empty set.
+    """
+    near = rows.select(*key, F.col(allowed).cast("array<bigint>").alias("_allowed"), F.explode(F.col(positions).cast("array<bigint>")).alias("position")).join(edges, "position")
+    found = near.filter(F.array_contains("_allowed", F.col("neighbour"))).groupBy(*key).agg(F.array_sort(F.collect_set("neighbour")).alias(name))
+    return rows.join(found, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))

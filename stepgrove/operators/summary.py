@@ -59,6 +59,25 @@ def distinct_states(steps, sequences, state="state", canonical="canonical_state"
     )
 
 
+#: Base-2 logarithm of a sketch's registers.
+SKETCH_BITS = 12
+
+
+def state_sketches(states, by, state="state", bits=SKETCH_BITS):
+    """A mergeable sketch of the distinct states of each group: small rows that runs can store and later ones add to."""
+    return states.groupBy(*by).agg(F.hll_sketch_agg(state, F.lit(bits)).alias("sketch"))
+
+
+def sketched_states(sketches, by=()):
+    """The estimated number of distinct states of the groups' stored sketches taken together."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimated_states"))
+
+
+def sketch_error(bits=SKETCH_BITS, deviations=3):
+    """The relative error that an estimate from merged sketches stays within: so many standard deviations."""
+    return deviations * 1.04 / 2 ** (bits / 2)
+
+
 @dataclass(frozen=True)
 class Thresholds:
     min_canonical_coverage: float = 0.5

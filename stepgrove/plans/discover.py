@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio
 from ..operators import archive as N
 from ..operators import rules as R
-from ..sources.archives import append_entries
+from ..session import materialize
+from ..sources.archives import append_entries, open_archive
+from ..sources.runs import commit_run
 from ..sources.schemas import PROVENANCE
 
 
@@ -46,15 +48,38 @@ def list_entries(spark, lists, signatures, provenance, first=0):
     )
 
 
-def discover(states, mined, provenance, archive_path, seed=0, key="canonical_state"):
+def manifest_rows(spark, lists, entries, agreement, archived):
+    """One row per candidate: its evaluation, joined by name, and its place in the archive, joined by identity.
+
+    A candidate that was not evaluated or not archived is an error when the rows are read. Candidates of one identity
+    share an entry.
+    """
+    candidates = spark.createDataFrame([(i, d.name, len(d.rules)) for i, d in enumerate(lists)], "ord bigint, candidate string, rules bigint")
+    found = candidates.join(entries.select(F.col("name").alias("candidate"), "entry_id"), "candidate", "left").join(agreement, "candidate", "left")
+    found = found.join(archived.select("entry_id", "sequence", F.col("distance").alias("novelty"), "is_novel"), "entry_id", "left")
+    lacking = F.when(F.col("positions").isNull(), "evaluation").when(F.col("sequence").isNull(), "archive entry")
+    failed = F.raise_error(F.concat(F.lit("no "), lacking, F.lit(" of candidate "), F.col("candidate")))
+    return found.select(
+        "ord", F.when(lacking.isNotNull(), failed.cast("string")).otherwise(F.col("candidate")).alias("candidate"),
+        "entry_id", "sequence", "rules", "positions", "agreeing", "agreement_rate", "novelty", "is_novel",
+    )
+
+
+def discover(states, mined, provenance, archive_path, seed=0, key="canonical_state", out=None, run_id=None):
     """Play the mined lists on the labelled states, measure them, and append them to the archive.
 
-    Returns (agreement table, number of entries appended).
+    With ``out`` and ``run_id`` the manifest of the candidates is committed there as a run with the one table
+    ``candidates``. Returns (agreement table, number of entries appended).
     """
     spark = states.sparkSession
     lists = [m.decisions for m in mined]
-    played = play_lists(states, lists, seed, F.col(key), ["seq_id", "run", "optimal", "value"])
+    # Stored, since signatures and agreement both read it, and the archive reads the entries several times.
+    played = materialize(play_lists(states, lists, seed, F.col(key), ["seq_id", "run", "optimal", "value"]))
     signed = N.signatures(played, ["candidate"], ["seq_id", "run"])
-    entries = list_entries(spark, lists, signed, provenance)
+    entries = materialize(list_entries(spark, lists, signed, provenance))
     appended = append_entries(spark, archive_path, provenance["game"], entries)
-    return list_agreement(played), appended
+    agreement = list_agreement(played)
+    if out:
+        rows = manifest_rows(spark, lists, entries, agreement, open_archive(spark, archive_path, provenance["game"]))
+        commit_run(out, run_id, provenance["game"], {"candidates": rows})
+    return agreement, appended

@@ -1,20 +1,25 @@
 """Trees, decision lists, gains and concepts."""
 
+import uuid
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions.scalars import ratio
 from ..operators import archive as N
+from ..operators import graph as G
 from ..operators import induce as I
 from ..operators import rules as R
 from ..operators import tree as T
 from ..operators import usage as U
-from ..operators.features import Feature
-from ..session import materialize
+from ..operators.features import Feature, merged
+from ..session import checkpoint_folder, materialize
+from ..sources.runs import load_tables
 from . import boards as B
 from .catalog import joined, query, r9, table
 from .corpora import STEPS_SQL, event_steps, sliding
-from .discover import list_agreement, play_lists
+from .discover import discover, list_agreement, play_lists
 from .label_queries import LABEL_SQL
 
 ITEM_COLUMNS = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
@@ -206,6 +211,52 @@ def evaluate_candidates(spark, folder):
     return list_agreement(stacked, ["value"]).withColumn("agreement_rate", r9("agreement_rate"))
 
 
+@query("discover_manifest", f"""WITH {STEPS_SQL}, {B.BOARDS_SQL}, {RULES_SQL},
+stacked AS (SELECT 0 AS ord, 'win-block' AS candidate, optimal, action FROM pick UNION ALL
+  SELECT 1, 'any-legal', optimal, legal[(('0x' || substr(md5(concat_ws(':', '11', seq_id, run)), 1, 8))::BIGINT % len(legal)) + 1] FROM raw)
+SELECT ord::BIGINT AS ord, candidate, ord::BIGINT AS sequence, CASE ord WHEN 0 THEN 4 ELSE 0 END::BIGINT AS rules,
+  count(*) AS positions, count(*) FILTER (list_contains(optimal, action)) AS agreeing,
+  round(count(*) FILTER (list_contains(optimal, action)) / count(*), 9) AS agreement_rate FROM stacked GROUP BY stacked.ord, candidate""")
+def discover_manifest(spark, folder):
+    """Discover over the open boards, committed as a run; the manifest is loaded and verified."""
+    base = f"{checkpoint_folder(spark)}/discover-{uuid.uuid4().hex}"
+    lists = [SimpleNamespace(decisions=d) for d in (board_list(), R.DecisionList("any-legal"))]
+    states = open_boards(spark, folder).withColumn("place", F.concat_ws(":", "seq_id", "run"))
+    discover(states, lists, {"game": "boards", "source": "discover", "evaluation_id": "open"}, f"{base}/archive", 11, "place", f"{base}/out", "first")
+    found = load_tables(spark, f"{base}/out", "first", "boards", verify=True)["candidates"]
+    return found.select("ord", "candidate", "sequence", "rules", "positions", "agreeing", r9("agreement_rate").alias("agreement_rate"))
+
+
+_MARKED = [f"coalesce({test} AND cells[p + {at}] = mover, false)" for test, at in (("p > 2", -2), ("p % 3 > 0", 0), ("p % 3 < 2", 2), ("p < 6", 4))]
+_NEAR_SQL = f"list_filter(legal, lambda p: {' OR '.join(_MARKED)})"
+NEAR_SQL = f"near AS (SELECT *, list_transform({_NEAR_SQL}, lambda p: p::BIGINT) AS near FROM boards)"
+
+
+def near_boards(spark, folder):
+    """The boards with the free cells next to a mark of the mover."""
+    boards = B.event_boards(spark, folder)
+    places = F.filter(F.sequence(F.lit(0), F.lit(8)), lambda p: F.coalesce(F.element_at("cells", p + 1) == F.col("mover"), F.lit(False)))
+    return G.neighbourhood(boards.withColumn("mine", places), ["seq_id", "run"], "mine", "legal", G.grid_edges(spark, 3, 3), "near")
+
+
+@query("free_neighbours", f"""WITH {STEPS_SQL}, {B.BOARDS_SQL}, {NEAR_SQL}
+SELECT seq_id, run, array_to_string(near, ',') AS near, len(near)::BIGINT AS n FROM near""")
+def free_neighbours(spark, folder):
+    return near_boards(spark, folder).select("seq_id", "run", joined("near").alias("near"), F.size("near").cast("bigint").alias("n"))
+
+
+@query("merged_features", f"""WITH {STEPS_SQL}, {B.BOARDS_SQL}, {NEAR_SQL}
+SELECT seq_id, run, CASE WHEN len(near) > 0 THEN len(near) ELSE len(legal) END::BIGINT AS open, value::BIGINT AS lead,
+       CASE WHEN len(near) > 0 THEN array_to_string(near, ',') END AS near FROM near""")
+def merged_features(spark, folder):
+    """Features of all boards, overridden by those of the boards with a free cell next to the mover's marks."""
+    boards, key = near_boards(spark, folder), ["seq_id", "run"]
+    left = boards.select(*key, F.size("legal").cast("bigint").alias("open"), F.col("value").cast("bigint").alias("lead"))
+    right = boards.filter(F.size("near") > 0).select(*key, F.size("near").cast("bigint").alias("open"), "near")
+    out = merged(left, right, key, {"open": "int", "lead": "int"}, {"open": "int", "near": "set"})
+    return out.withColumn("near", joined("near"))
+
+
 PAIR_SQL = """w AS (SELECT seq_id, ply, action, lag(action, 2) OVER o AS a0, lag(action) OVER o AS a1 FROM steps WINDOW o AS (PARTITION BY seq_id ORDER BY ply)),
 e AS (SELECT DISTINCT concat_ws('>', a0, a1) AS state, action, concat_ws('>', a1, action) AS next FROM w WHERE ply >= 2),
 f AS (SELECT concat_ws('>', a1, action) AS state, count(*) AS n, count(DISTINCT seq_id) AS users FROM w WHERE ply >= 1 GROUP BY 1),

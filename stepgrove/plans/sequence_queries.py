@@ -1,5 +1,7 @@
 """Sequence expansion, states, outcomes, diversity, verification."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import composite_id
@@ -8,7 +10,7 @@ from ..operators import agreement as A
 from ..operators import corpus as C
 from ..operators import summary as S
 from ..operators.ordering import ordinal
-from ..session import materialize
+from ..session import checkpoint_folder, materialize
 from .catalog import joined, query, r9, table
 from .corpora import SYMBOLS, TALLY_SQL, STEPS_SQL, event_corpus, event_rows, event_sequences, event_steps, seat_player, windows
 
@@ -122,6 +124,25 @@ def distinct_states(spark, folder):
     return S.distinct_states(*states_of(spark, folder))
 
 
+@query("distinct_states_sketched", f"""WITH {STEPS_SQL}, {PREFIX_SQL},
+seen AS (SELECT CAST(seq_id % 2 AS VARCHAR) AS run, {STATE_SQL} AS state FROM prefix)
+SELECT coalesce(run, 'both') AS run, count(DISTINCT state) AS distinct_states, true AS within_bound FROM seen GROUP BY GROUPING SETS ((run), ())""")
+def distinct_states_sketched(spark, folder):
+    """Exact numbers of states of two runs and of both, and if the estimate from stored sketches per ply is within its bound."""
+    run = (F.col("seq_id") % 2).cast("string")
+    steps = materialize(step_states(spark, folder).select(run.alias("run"), "ply", joined("state").alias("state")))
+    path = f"{checkpoint_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    for one in ("0", "1"):  # each run stores its own
+        S.state_sketches(steps.filter(F.col("run") == one), ["run", "ply"]).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    both = F.lit("both").alias("run")
+    guessed = S.sketched_states(stored, ["run"]).unionByName(S.sketched_states(stored).select(both, "estimated_states"))
+    exact = steps.groupBy("run").agg(F.countDistinct("state").alias("distinct_states"))
+    exact = exact.unionByName(steps.agg(F.countDistinct("state").alias("distinct_states")).select(both, "distinct_states"))
+    apart = F.abs(F.col("estimated_states") - F.col("distinct_states"))
+    return exact.join(guessed, "run").select("run", "distinct_states", (apart <= F.ceil(S.sketch_error() * F.col("distinct_states"))).alias("within_bound"))
+
+
 METRICS_SQL = f"""WITH {STEPS_SQL}, {PREFIX_SQL}, {STATES_SQL}, d AS (
   SELECT count(DISTINCT state) AS distinct_states, count(DISTINCT canonical) AS distinct_canonical_states FROM shaped),
 m AS (SELECT count(*) AS sequences, CAST(sum(length) AS BIGINT) AS steps, count(DISTINCT actions) AS distinct_sequences,

@@ -1,14 +1,18 @@
 """A run directory: one sub-path per table, the manifest written last."""
 
+import json
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import drop_table
 from . import schemas
 from .records import require_version, write_table
 
+
 @dataclass
 class Run:
     """Tables of a stored run; ``annotations`` is None until it has been written."""
@@ -110,3 +114,61 @@ def write_results(path, run_id, tables):
 def read_manifest(spark, path, run_id):
     """The outputs of an analysis and their rows, as the manifest has them."""
     return spark.read.schema(schemas.OUTPUT).parquet(f"{path}/analyze").filter(F.col("run_id") == run_id)
+
+
+def _digest(df):
+    """A sum over the rows' hashes: whatever their order, and repeated rows count."""
+    return F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("digest")
+
+
+def commit_run(path, run_id, game, tables):
+    """Write all tables of a run, then one manifest that names them with their rows and digests.
+
+    The run's earlier manifest is withdrawn first and the new one is written last, in one file: a run that stops
+    half way has no manifest and can't be loaded. Tables are partitioned by run, so other runs are left alone, and
+    writing a run again replaces it. Returns the rows per table.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    drop_table(spark, f"{path}/commit/run_id={run_id}")
+    rows = []
+    for name, df in tables.items():
+        if name == "commit":
+            raise ValueError("`commit` is the manifest's name")
+        plain, seen = df.select(*[c for c in df.columns if c != "run_id"]), Observation()
+        counted = plain.observe(seen, F.count(F.lit(1)).alias("rows"), _digest(plain))
+        write_table(counted.withColumn("run_id", F.lit(run_id)), f"{path}/{name}", "overwrite", ["run_id"])
+        rows.append((schemas.SCHEMA_VERSION, run_id, game, name, plain.schema.json(), seen.get["rows"], seen.get["digest"]))
+    write_table(spark.createDataFrame(rows, schemas.COMMIT).coalesce(1), f"{path}/commit", "overwrite", ["run_id"])
+    return {r[3]: r[5] for r in rows}
+
+
+def read_commit(spark, path, run_id):
+    """The manifest of a committed run; a run without one is an error."""
+    manifest = read_or_none(spark, f"{path}/commit", schemas.COMMIT)
+    found = manifest.filter(F.col("run_id") == run_id) if manifest is not None else None
+    if found is None or found.isEmpty():
+        raise FileNotFoundError(f"{path} has no finished run {run_id}")
+    return found
+
+
+def load_tables(spark, path, run_id, game, verify=False):
+    """The tables of a committed run by name; another game or schema version is an error.
+
+    ``verify`` reads every table and compares its rows and digest with the manifest: a missing, shortened or altered
+    table is an error.
+    """
+    out = {}
+    for r in read_commit(spark, path, run_id).collect():
+        if r["schema_version"] != schemas.SCHEMA_VERSION:
+            raise ValueError(f"{path}/commit: schema_version {r['schema_version']} is not supported")
+        if r["game"] != game:
+            raise ValueError(f"run at {path} belongs to `{r['game']}`, not `{game}`")
+        fields = T.StructType.fromJson(json.loads(r["fields"]))
+        stored = read_or_none(spark, f"{path}/{r['output']}", T.StructType([*fields.fields, T.StructField("run_id", T.StringType())]))
+        if stored is None:
+            raise ValueError(f"{path}: table {r['output']} of run {run_id} is missing")
+        part = stored.filter(F.col("run_id") == run_id).drop("run_id")
+        if verify and tuple(part.agg(F.count(F.lit(1)), _digest(part)).first()) != (r["rows"], r["digest"]):
+            raise ValueError(f"{path}: table {r['output']} of run {run_id} is not what was committed")
+        out[r["output"]] = part
+    return out

@@ -43,6 +43,8 @@ RUN = (
 
 ANNOTATION_SET = "schema_version INT, run_id STRING, game STRING, mode STRING, rows BIGINT"
 
+COMMIT = "schema_version INT, run_id STRING, game STRING, output STRING, fields STRING, rows BIGINT, digest DECIMAL(38,0)"
+
 OUTPUT = "schema_version INT, run_id STRING, output STRING, rows BIGINT"
 
 CONTESTS = (
