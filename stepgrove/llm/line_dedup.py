@@ -14,7 +14,7 @@ from .catalog import query, table
 
 #: A line goes when it stands on more than this share of its host's pages, in hosts of at least so many pages.
 RATIO = 0.3
-LEAST_PAGES = 5
+LEAST_PAGES = 2
 
 #: Fixed patterns: what isn't text, what ends a line, and other tags.
 UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"

@@ -76,8 +76,14 @@ def test_site_lines(spark):
     by = {r.page_id: r for r in got}
     assert len(got) == len(rows) and by[1].host == "big.example" and by[1].host_pages == 14 and by[21].host == "small.example"
     assert (by[1].text, by[1].n_lines, by[1].n_dropped) == ("body 1", 4, 3) and by[2].text == "only 2"
-    assert by[21].text == "menu\nx" and by[30].text == "menu" and by[30].host_pages is None
+    assert by[21].text == "" and by[21].n_dropped == 2 and by[30].text == "menu" and by[30].host_pages is None
     assert by[31].n_lines == 0 and by[None].text == "null id"
+    floor = line_dedup.drop_lines(df, "page_id", line_dedup.host(F.col("url")), F.col("html"), least=5).collect()
+    assert {r.page_id: r for r in floor}[21].text == "menu\nx"
+    two = [(1, "http://a.example/1", "menu\none"), (2, "http://a.example/2", "menu\ntwo"), (3, "http://b.example/1", "menu\nmenu")]
+    df = spark.createDataFrame(two, "page_id bigint, url string, html string")
+    got = line_dedup.drop_lines(df, "page_id", line_dedup.host(F.col("url")), F.col("html")).collect()
+    assert {r.page_id: r.text for r in got} == {1: "one", 2: "two", 3: "menu\nmenu"}
     assert line_dedup.drop_lines(df.filter("false"), "page_id", line_dedup.host(F.col("url")), F.col("html")).count() == 0
 
 
