@@ -97,13 +97,14 @@ def vocabulary(rows, n0, n1):
     surprise = (a + b) * (part(share, F.lit(base)) + part(1 - share, F.lit(1 - base)))
     marking = (a + b >= LEAST_TEXTS) & (a + b < n) & (a * n0 >= LEAST_LIFT * b * n1) & (surprise >= LEAST_SURPRISE)
     scored = held.filter(marking).withColumn("chi", chi)
-    chosen, bare, begun = {}, set(), {}
+    chosen, begun = {}, {}
     for r in scored.orderBy(F.desc("chi"), F.desc(F.length("term")), "term").collect():
         stem, held_by = r["term"].rstrip("-"), (r["a"], r["b"])
-        starts = {stem[:i] for i in range(1, len(stem) + 1)}
-        # What follows a better beginning says the same, and so does a beginning of one word; a wider one says more.
-        if not starts & bare and held_by not in begun.get(stem, ()):
-            bare.add(stem)
+        starts = [stem[:i] for i in range(1, len(stem))]
+        # What follows a better beginning says the same, and so does a beginning of one word; a wider one says more. A
+        # chosen word stands in nobody's way: longer words are other words.
+        same = r["term"] != stem and held_by in begun.get(stem, ())
+        if not same and not any(f"{x}-" in chosen for x in starts):
             for x in starts:
                 begun.setdefault(x, set()).add(held_by)
             chosen[r["term"]] = (len(chosen), r["a"] + r["b"])
