@@ -104,6 +104,11 @@ def measures(docs, id="doc_id", text="text", lang="lang"):
     )
 
 
+def common_words(lang):
+    """The common words a language is known by: its list, or the words of all lists that its documents may share."""
+    return COMMON.get(lang, sorted({w for some in COMMON.values() for w in some}))
+
+
 def references(rows):
     """{language: (shares of the classes and the rest, shares of its common words and the rest)} over all of ``rows``."""
     vocabulary = sorted({w for some in COMMON.values() for w in some})
@@ -114,7 +119,7 @@ def references(rows):
     out = {}
     for r in found:
         classes = [r[f"c{i}"] for i in range(len(CLASSES) + 1)]
-        own = [r[f"w{vocabulary.index(w)}"] for w in COMMON.get(r["lang"], [])]
+        own = [r[f"w{vocabulary.index(w)}"] for w in common_words(r["lang"])]
         out[r["lang"]] = (
             [c / r["n_points"] for c in [*classes, r["n_points"] - sum(classes)]],
             [c / r["n_words"] for c in [*own, r["n_words"] - sum(own)]] if sum(own) else None,
@@ -155,10 +160,11 @@ def judge(rows, known):
     compared = []
     wide = F.transform("classes", lambda x: x.cast("bigint"))
     for lang, (classes, common) in known.items():
-        own = F.array(*[F.get("common", F.lit(vocabulary.index(w))).cast("bigint") for w in COMMON.get(lang, [])])
+        own = F.array(*[F.get("common", F.lit(vocabulary.index(w))).cast("bigint") for w in common_words(lang)])
         far = divergence(own, F.col("n_words"), common) / F.lit(without_any(common)) if common else F.lit(0.0)
         near = divergence(wide, F.col("n_points"), classes)
-        compared.append(F.struct((near / MOST_CLASSES + far / MOST_COMMON).alias("rank"), F.lit(lang).alias("lang"), near.alias("classes"), far.alias("common")))
+        found = F.struct((near / MOST_CLASSES + far / MOST_COMMON).alias("rank"), F.lit(lang).alias("lang"), near.alias("classes"), far.alias("common"))
+        compared.append(found if common else F.when(F.coalesce(F.col("lang") == lang, F.lit(True)), found))
     best = F.array_min(F.array(*compared)) if compared else F.lit(None).cast("struct<rank:double,lang:string,classes:double,common:double>")
     return _verdicts(rows, base, best)
 
@@ -167,7 +173,7 @@ def _reference_row(spark, known, vocabulary):
     """One row with all references: a few hundred numbers for each language."""
     shape = "refs array<struct<lang:string,classes:array<double>,places:array<int>,common:array<double>,none:double>>"
     refs = [
-        (lang, [float(x) for x in classes], [vocabulary.index(w) for w in COMMON.get(lang, [])] if common else [],
+        (lang, [float(x) for x in classes], [vocabulary.index(w) for w in common_words(lang)] if common else [],
          [float(x) for x in common] if common else None, float(without_any(common)) if common else None)
         for lang, (classes, common) in known.items()
     ]
@@ -184,7 +190,8 @@ def _nearest(known):
         near = divergence(wide, F.col("n_points"), r["classes"])
         return F.struct((near / MOST_CLASSES + far / MOST_COMMON).alias("rank"), r["lang"].alias("lang"), near.alias("classes"), far.alias("common"))
 
-    return F.array_min(F.transform("refs", compare))
+    open_ = lambda r: r["common"].isNotNull() | F.coalesce(F.col("lang") == r["lang"], F.lit(True))
+    return F.array_min(F.transform(F.filter("refs", open_), compare))
 
 
 def _verdicts(rows, base, best):
@@ -203,9 +210,10 @@ def _verdicts(rows, base, best):
 def quality(docs, id="doc_id", text="text", lang="lang"):
     """One row per row of ``docs``: id, the base measures, base_failed, kept, and the nearest language with distances.
 
-    Null and empty texts have no words and fail the base rules. ``lang`` only groups the references: null languages add
-    to none, and a language without a list of common words is compared by character classes alone. With no reference
-    at all the base rules decide. Ties go to the language that sorts first; other columns play no part.
+    Null and empty texts have no words and fail the base rules. ``lang`` groups the references: null languages add
+    to none. A language without a list of common words is known by how its documents use the words of all lists. If they
+    hold none of those either, only character classes remain, which most languages share: then the reference is compared
+    with documents of that language or of none, not with others. With no reference at all the base rules decide. Ties go to the language that sorts first; other columns play no part.
     """
     rows = materialize(measures(docs, id, text, lang))
     return judge(rows, references(rows)).withColumnRenamed("id", id)
@@ -231,14 +239,14 @@ m AS (SELECT r, doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string
   list_transform({vocabulary}, lambda v: len(list_filter(ws, lambda x: list_contains({forms}, x) AND lower(x) = v))) AS common
   FROM w LEFT JOIN covered USING (r)),
 sums AS (SELECT lang, sum(n_words)::DOUBLE AS nw, sum(n_points)::DOUBLE AS np, [{", ".join(f"sum(classes[{i + 1}])::DOUBLE" for i in range(len(CLASSES) + 1))}] AS cs,
-  [{", ".join(f"sum(common[{i + 1}])::DOUBLE" for i in range(len(vocabulary)))}] AS ws, coalesce(CASE lang {places} END, []::INTEGER[]) AS spots
+  [{", ".join(f"sum(common[{i + 1}])::DOUBLE" for i in range(len(vocabulary)))}] AS ws, CASE lang {places} ELSE range(1, {len(vocabulary) + 1}) END AS spots
   FROM m WHERE lang IS NOT NULL AND n_words > 0 GROUP BY lang),
 refs AS (SELECT lang, spots, list_transform(list_append(cs, np - list_sum(cs)), lambda x: x / np) AS qc,
   list_transform(list_append(list_transform(spots, lambda j: ws[j]), nw - coalesce(list_sum(list_transform(spots, lambda j: ws[j])), 0)), lambda x: x / nw) AS qw FROM sums),
 pairs AS (SELECT r, refs.lang, qc, qw, list_transform(range(1, len(qw) + 1), lambda i: CASE WHEN i = len(qw) THEN 1.0 ELSE 0.0 END) AS none,
   list_transform(list_append(classes, n_points - list_sum(classes)), lambda x: x / n_points) AS pc,
   list_transform(list_append(list_transform(spots, lambda j: common[j]), n_words - coalesce(list_sum(list_transform(spots, lambda j: common[j])), 0)), lambda x: x / n_words) AS pw
-  FROM m, refs WHERE n_words >= {min(CLASSES_GUARD, COMMON_GUARD)}),
+  FROM m, refs WHERE n_words >= {min(CLASSES_GUARD, COMMON_GUARD)} AND (qw[len(qw)] < 1 OR m.lang IS NULL OR m.lang = refs.lang)),
 far AS (SELECT r, lang, {distance("pc", "qc")} AS dc, CASE WHEN qw[len(qw)] = 1 THEN 0.0 ELSE {distance("pw", "qw")} / {distance("none", "qw")} END AS dw FROM pairs),
 best AS (SELECT r, dc, dw FROM far QUALIFY row_number() OVER (PARTITION BY r ORDER BY dc / {MOST_CLASSES}::DOUBLE + dw / {MOST_COMMON}::DOUBLE, lang) = 1),
 verdict AS (SELECT m.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
