@@ -56,6 +56,13 @@ def move_positions(positions, permutation):
     return F.array_sort(F.array_distinct(F.transform(positions, lambda p: F.element_at(permutation, p + 1))))
 
 
+def checked_positions(positions, permutation):
+    """:func:`move_positions`, where a position that is null or that the permutation lacks is an error; null stays null."""
+    known = lambda p: p.isNotNull() & (p >= 0) & (p < F.size(permutation))
+    wrong = F.raise_error(F.lit("a position has no place under the permutation"))
+    return F.when(positions.isNull() | F.forall(positions, lambda p: F.coalesce(known(p), F.lit(False))), move_positions(positions, permutation)).otherwise(wrong)
+
+
 def move_back(positions, permutation):
     """Positions carried through the inverse of a permutation column."""
     return F.array_sort(F.transform(positions, lambda p: (F.array_position(permutation, p) - 1).cast("int")))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import sets
-from .features import TIERS
+from .features import TIERS, check_kinds
 
 NO_LABEL = "none"
 
@@ -55,10 +55,13 @@ def qualify(classes, tiers, legal=None, optimal=None):
 
 
 def build_dataset(states, vocabulary, extra=()):
-    """Featurise and label collapsed states that carry ``legal`` and ``optimal`` position sets."""
+    """Featurise and label collapsed states that carry ``legal`` and ``optimal`` position sets.
+
+    A feature whose column has another Spark type than its kind allows is an error before any job.
+    """
     tiers = {f.name: f.tier for f in vocabulary.features}
     classes = vocabulary.set_features()
-    featured = vocabulary.evaluate(states)
+    featured = check_kinds(vocabulary.evaluate(states), vocabulary.kinds())
     qualifying, label = qualify(classes, [tiers[c] for c in classes])
     keep = [c for c in states.columns if c not in vocabulary.kinds()]
     return featured.select(

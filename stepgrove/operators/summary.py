@@ -5,6 +5,8 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..session import materialize
+from .ordering import running
 
 
 def tally_columns(result=None):
@@ -24,11 +26,18 @@ def outcome_tally(rows, keys=()):
 
 
 def outcome_by_ply(sequences):
-    """Outcomes of the sequences that reach each ply. Sequences are tallied by length first, so no step is joined."""
+    """Outcomes of the sequences that reach each ply, 0 to the longest sequence's last.
+
+    Sequences are tallied by length first, so no step is joined. The sequences that reach a ply are the sum of the tallies
+    of all greater lengths: one running sum over the plies, so the work is the longest length, not the sum of all lengths.
+    """
     names = ["decisive", "draws", "unfinished", "total"]
-    tallied = outcome_tally(sequences.filter(F.col("length") > 0), ["length"])
-    plies = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1)
-    return tallied.select(F.explode(plies).alias("ply"), *names).groupBy("ply").agg(*[F.sum(n).alias(n) for n in names])
+    tallied = materialize(outcome_tally(sequences.filter(F.col("length") > 0), ["length"]))
+    longest = tallied.agg(F.coalesce(F.max("length"), F.lit(0)).alias("n")).first()["n"]
+    plies = sequences.sparkSession.range(longest).withColumnRenamed("id", "ply")
+    ends = tallied.select((F.col("length") - 1).cast("bigint").alias("ply"), *names)
+    down = plies.join(ends, "ply", "left").select("ply", (-F.col("ply")).alias("_down"), *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    return running(down, [], ["_down"], {n: F.col(n) for n in names}, max_group=longest).select("ply", *names)
 
 
 def wins_by_winner(rows, keys=()):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import agreement as A
 from ..operators import dataset as D
 from ..operators import induce as I
+from ..operators import plugins as G
 from ..operators import rules as R
 from ..operators import summary as S
 from ..operators import usage as U
@@ -29,12 +30,16 @@ class Inputs:
 
 @dataclass
 class Options:
+    """``generate`` names the generators of the registry ``generators`` that ``mine`` runs; none: the exact tree."""
+
     thresholds: S.Thresholds = S.Thresholds()
     known_canonical: int | None = None
     vocabulary: Vocabulary | None = None
     induction: I.InductionParams | None = None
     mining: R.MineParams = R.MineParams()
     key: str = "canonical_state"
+    generators: G.Registry | None = None
+    generate: tuple = ()
 
 
 @dataclass
@@ -99,7 +104,9 @@ def _concepts(inputs, options, results):
 
 def _mine(inputs, options, results):
     _need_dataset(results, "mine")
-    results.mined = R.mine(results.dataset, results.vocabulary, options.mining, options.key, stored=True)
+    tree = G.tree_generator(options.mining, options.key, stored=True)
+    generators, names = (options.generators, options.generate) if options.generate else (G.Registry("generator", [tree]), [tree.name])
+    results.mined = G.generate(results.dataset, results.vocabulary, generators, names, options.mining.seed)
     return evidence_frame(inputs.steps.sparkSession, results.mined)
 
 

@@ -234,17 +234,18 @@ def rotation_tally(spark, folder):
 
 
 @query("set_orbits", f"""WITH {STEPS_SQL}, {WINDOW4_SQL}, s AS (
-  SELECT seq_id * 100000 + win AS set_id, list_sort(list_distinct(list_filter([p0, p1, p2, p3], lambda x: x IS NOT NULL))) AS s FROM win4),
+  SELECT {{'seq': seq_id, 'win': win}} AS set_id, list_sort(list_distinct(list_filter([p0, p1, p2, p3], lambda x: x IS NOT NULL))) AS s FROM win4),
 i AS (SELECT set_id, s, list_sort([{", ".join(f"list_sort(list_transform(s, lambda x: (x + {k}) % 5))" for k in range(5))}])[1] AS image FROM s)
-SELECT array_to_string(image, ',') AS image, min(set_id) AS class, count(*) AS sets, count(DISTINCT s) AS distinct_sets FROM i GROUP BY 1""")
+SELECT array_to_string(image, ',') AS image, (min(set_id)).seq AS class_seq, (min(set_id)).win AS class_window, count(*) AS sets, count(DISTINCT s) AS distinct_sets FROM i GROUP BY 1""")
 def set_orbits(spark, folder):
     w = position_windows(spark, folder, 4)
     members = F.array_sort(F.array_distinct(F.filter("actions", lambda a: a.isNotNull())))
-    sets = w.select((F.col("seq_id") * 100000 + F.col("window")).alias("set_id"), members.alias("s"))
+    sets = w.select(F.struct("seq_id", "window").alias("set_id"), members.alias("s"))
     image = least_image(F.col("s"), cyclic_group(5))
-    return sets.groupBy(joined(image).alias("image")).agg(
-        F.min("set_id").alias("class"), F.count(F.lit(1)).alias("sets"), F.countDistinct("s").alias("distinct_sets")
+    classes = sets.groupBy(joined(image).alias("image")).agg(
+        F.min("set_id").alias("_class"), F.count(F.lit(1)).alias("sets"), F.countDistinct("s").alias("distinct_sets")
     )
+    return classes.select("image", F.col("_class.seq_id").alias("class_seq"), F.col("_class.window").alias("class_window"), "sets", "distinct_sets")
 
 
 @query("positions_back", f"""WITH {STEPS_SQL}, {WINDOW4_SQL}, w AS (

@@ -42,6 +42,14 @@ def read_document(spark, path, schema):
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def write_document(df, path, mode="errorifexists"):
+    """Write a table of exactly one row as one pretty-printed JSON document, which :func:`read_document` reads back."""
+    if len(df.limit(2).collect()) != 1:
+        raise ValueError("a document is exactly one row")
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": "true"})
+    df.select(text.alias("value")).coalesce(1).write.mode(mode).text(path)
+
+
 def require_version(df, name, version=SCHEMA_VERSION):
     """Every record must carry the supported schema version."""
     found = df.filter(~F.col("schema_version").eqNullSafe(F.lit(version))).select("schema_version").limit(1).collect()
@@ -51,6 +59,7 @@ def require_version(df, name, version=SCHEMA_VERSION):
 
 
 def checked_version(df, version=SCHEMA_VERSION):
-    """The same check inside the plan, for reads that should not start a job of their own."""
-    wrong = F.raise_error(F.concat(F.lit("unsupported schema_version "), F.col("schema_version").cast("string")))
-    return df.withColumn("schema_version", F.when(F.col("schema_version") == version, F.col("schema_version")).otherwise(wrong))
+    """The same check inside the plan, as a filter that stays when the column is not read on: no job of its own."""
+    found = F.coalesce(F.col("schema_version").cast("string"), F.lit("null"))
+    wrong = F.raise_error(F.concat(F.lit("unsupported schema_version "), found)).cast("boolean")
+    return df.filter(F.when(F.col("schema_version") == version, F.lit(True)).otherwise(wrong))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..session import drop_table
 from . import schemas
-from .records import require_version, write_table
+from .records import checked_version, require_version, write_table
 
 
 @dataclass
@@ -63,9 +63,8 @@ def load_run(spark, path, run_id, game):
     require_version(manifest.filter(F.col("run_id") == run_id), f"{path}/run")
     part = lambda name: spark.read.parquet(f"{path}/{name}").filter(F.col("run_id") == run_id)
     run = Run(run_id, game, part("sequences"), part("steps"))
-    for name, df in (("sequences", run.sequences), ("steps", run.steps)):
-        if "schema_version" in df.columns:
-            require_version(df, f"{path}/{name}")
+    checked = lambda df: checked_version(df) if "schema_version" in df.columns else df
+    run.sequences, run.steps = checked(run.sequences), checked(run.steps)
     run.annotations = read_annotations(spark, path, run_id, game)
     return run
 
