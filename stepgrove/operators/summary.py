@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
@@ -32,8 +33,9 @@ def outcome_by_ply(sequences):
     of all greater lengths: one running sum over the plies, so the work is the longest length, not the sum of all lengths.
     """
     names = ["decisive", "draws", "unfinished", "total"]
-    tallied = materialize(outcome_tally(sequences.filter(F.col("length") > 0), ["length"]))
-    longest = tallied.agg(F.coalesce(F.max("length"), F.lit(0)).alias("n")).first()["n"]
+    seen = Observation()
+    tallied = materialize(outcome_tally(sequences.filter(F.col("length") > 0), ["length"]).observe(seen, F.max("length").alias("longest")))
+    longest = seen.get.get("longest") or 0
     plies = sequences.sparkSession.range(longest).withColumnRenamed("id", "ply")
     ends = tallied.select((F.col("length") - 1).cast("bigint").alias("ply"), *names)
     down = plies.join(ends, "ply", "left").select("ply", (-F.col("ply")).alias("_down"), *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
