@@ -113,3 +113,29 @@ def test_index_mismatches(spark):
     assert N.index_mismatches(a, a).count() == 0
     b = spark.createDataFrame([(0, "x"), (1, "z"), (2, "w")], "sequence bigint, entry_id string")
     assert N.index_mismatches(a, b).count() == 2
+
+
+def test_novelty_copies_packed_blocks(spark):
+    """What is copied for every pair of blocks is a block, not its entries with their lists."""
+    found = N.novelty(spark.createDataFrame(random_entries(40), ENTRY), 0, 7)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    steps = found._jdf.queryExecution().explainString(mode).split("\n\n")
+    copied = [x for x in steps if "hashpartitioning(_i" in x and "Exchange" in x]
+    assert found.count() == 40 and copied and not any("signature" in x or "rules" in x for x in copied)
+
+
+def test_novelty_of_long_signatures_and_many_rules(spark, monkeypatch):
+    monkeypatch.setattr(N, "RULE_BITS", 64)
+    monkeypatch.setattr(N, "TILE_ROWS", 16)
+    rng, entries = random.Random(5), []
+    for i in range(90):
+        spec = rng.choice([minimax(rng.randint(0, 3), 0.5, None), rules(*(f"r{rng.randint(0, 150)}" for _ in range(40))), RANDOM])
+        width = rng.choice([1, 254, 255, 300])
+        entries.append((i, f"e{i}", *spec, rng.choice([None, "s"]), [rng.choice(["a", "b", "c", "d", "e"]) for _ in range(width)]))
+    entries[60] = (60, "e60", *entries[60][2:7], "s", entries[12][8])
+    got = N.novelty(spark.createDataFrame(entries, ENTRY).repartition(3), 0, 32).collect()
+    expected = brute_novelty(entries)
+    assert len(got) == 90
+    for r in got:
+        nearest, spec, behaviour = expected[r["sequence"]][:3]
+        assert (r["nearest_sequence"], r["spec_distance"]) == (nearest, pytest.approx(spec)) and r["behaviour_distance"] == pytest.approx(behaviour)
