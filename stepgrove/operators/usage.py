@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio
 from .features import TIERS
 
+#: References and definitions of one task.
+TASK_ROWS = 1 << 17
+
 
 def undefined(references, definitions):
     """Referenced features a candidate does not define; must be empty."""
@@ -18,10 +21,14 @@ def _by_tier(rows, keys):
 
 
 def candidate_usage(references, definitions):
-    """Distinct referenced features per candidate, counted by tier; every tier is a column."""
-    refs = references.select("candidate", "feature").distinct()
-    tiers = definitions.select("candidate", "feature", "tier").distinct()
-    return _by_tier(refs.join(tiers, ["candidate", "feature"]), ["candidate"])
+    """Distinct referenced features per candidate, counted by tier; every tier is a column.
+
+    Names compress so well that partitions sized by their bytes would hold millions of rows; these are sized by rows.
+    """
+    parts = -(-(references.count() + definitions.count()) // TASK_ROWS) or 1
+    dealt = lambda df, *more: df.select("candidate", "feature", *more).repartition(parts, "candidate", "feature")
+    tiers = dealt(definitions, "tier").distinct()
+    return _by_tier(tiers.join(dealt(references).hint("merge"), ["candidate", "feature"], "left_semi"), ["candidate"])
 
 
 def overall_usage(references, definitions):

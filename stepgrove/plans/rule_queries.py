@@ -523,7 +523,7 @@ def references(spark, folder):
     size = F.col("p_size")
     tier = F.when(size <= 15, "primitive").when(size <= 40, "supplied").otherwise("invented")
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("feature"), tier.alias("tier"))
-    defined = refs.distinct().join(parts, "feature").withColumn("ord", F.col("candidate"))
+    defined = refs.join(parts, "feature").withColumn("ord", F.col("candidate"))
     return refs, defined
 
 
