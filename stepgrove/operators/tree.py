@@ -103,11 +103,15 @@ def route(nodes, values):
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), step)
 
 
+#: Decimal digits that a bigint holds: ``div`` gives one whatever it divides, and so does a literal.
+LONG_DIGITS = 18
+
+
 def _arithmetic(rows):
-    """Integer type that holds N^3/4, and its largest power-of-ten headroom over N^2/4."""
+    """Integer type that holds N^3/4, and its power-of-ten headroom over N^2/4 as far as quotients are bigints."""
     largest = max(rows, 2) ** 2 // 4 + 1
     kind, room = ("bigint", 2**63 - 1) if max(rows, 2) ** 3 < 2**63 else ("decimal(38,0)", 10**38 - 1)
-    return kind, int(math.log10(room // largest)), largest
+    return kind, min(LONG_DIGITS, int(math.log10(room // largest))), largest
 
 
 def with_score(candidates, rows):

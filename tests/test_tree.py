@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,32 @@ def test_wide_arithmetic_gives_the_same_order(spark, monkeypatch):
     assert key(T.node_rows(tree, [0, 1])) == key(brute(rows, 2, 2, 1))
 
 
+@pytest.mark.parametrize("n", [2_097_152, 3_600_000, 36_000_000, 10**9])
+def test_tables_beyond_plain_integers_give_the_same_order(spark, monkeypatch, n):
+    rng = random.Random(6)
+    rows = [([float(rng.randint(0, 3)), float(rng.randint(0, 3))], rng.randint(0, 1)) for _ in range(40)]
+    plain = T._arithmetic
+    monkeypatch.setattr(T, "_arithmetic", lambda rows: plain(n))
+    assert plain(n)[0] == "decimal(38,0)"
+    tree = T.fit(spark.createDataFrame(rows, SHAPE), 2, 2, 1)
+    assert key(T.node_rows(tree, [0, 1])) == key(brute(rows, 2, 2, 1))
+
+
+def test_weights_of_many_rows(spark):
+    """Splits whose scores differ in the last digits only, over more rows than plain integers compare."""
+    m = 1_000_000
+    rows = [([0.0, 1.0], 0, m), ([1.0, 0.0], 1, m), ([2.0, 2.0], 0, m + 1), ([3.0, 3.0], 1, m - 1)]
+    tree = T.fit(spark.createDataFrame(rows, SHAPE + ", w bigint"), 2, 1, 1, weight="w")
+
+    def score(left):
+        parts = [[sum(w for _, k, w in part if k == c) for c in (0, 1)] for part in (left, [r for r in rows if r not in left])]
+        return sum(Fraction(sum(n * n for n in p), sum(p)) for p in parts)
+
+    cuts = [(c, v, [r for r in rows if r[0][c] <= v]) for c in (0, 1) for v in (0.0, 1.0, 2.0)]
+    best = max(cuts, key=lambda cut: score(cut[2]))
+    assert (tree.nodes[0].column, tree.nodes[0].threshold) == best[:2]
+
+
 def test_large_tree_routing_agrees(spark, monkeypatch):
     rng = random.Random(9)
     rows = [([float(rng.randint(0, 9)), float(rng.randint(0, 9))], rng.randint(0, 2)) for _ in range(80)]
